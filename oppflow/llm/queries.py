@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oppflow.llm import bpe, exact_dedup, token_files
+from oppflow.llm import bpe, exact_dedup, langid, quality, simhash, token_files
 from oppflow.shared import table
 
 
@@ -16,11 +16,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), bpe.public_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op6_token_files)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_quality, op5_langid, op6_token_files, op8_simhash)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
