@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oppflow.llm import bpe, exact_dedup, langid, quality, simhash, token_files
+from oppflow.llm import bpe, exact_dedup, langid, media, mixing, quality, secret_scan, simhash, token_files
 from oppflow.shared import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.json"))
 
@@ -32,7 +36,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_quality, op5_langid, op6_token_files, op8_simhash)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_exact_dedup, op4_quality, op5_langid, op6_token_files, op8_simhash, op9_secret_scan, op10_media)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
