@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oppflow.llm import bpe, exact_dedup, langid, media, mixing, quality, secret_scan, simhash, token_files
+from oppflow.llm import bpe, exact_dedup, langid, media, mixing, quality, secret_scan, simhash, substring, token_files
 from oppflow.shared import table
 
 
@@ -32,6 +32,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), bpe.public_path("word_bpe_49k.json"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_exact_dedup, op4_quality, op5_langid, op6_token_files, op8_simhash, op9_secret_scan, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_exact_dedup, op4_quality, op5_langid, op6_token_files, op7_substring, op8_simhash, op9_secret_scan, op10_media)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
@@ -58,5 +62,22 @@ SELECT doc_id,
        sha256(t) AS text_sha256
 FROM n
 WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
+""",
+    "op7_substring": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)
+), dup AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM dup)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+  FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w) ANTI JOIN gone USING (doc_id, p)
+  GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """,
 }
