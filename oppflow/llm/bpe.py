@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import joined, lists, ragged, units
+from oppflow.llm.arrowtext import buffers, joined, lists, ragged, string_view, units
 
 #: Bytes of text whose words share one word list.
 CHUNK_BYTES = 16 << 20
@@ -64,17 +64,35 @@ def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), count
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed, after their number."""
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True), kind)
+
+
+def _column(rows: list[bytes], kind) -> list[np.ndarray]:
+    return [_unpack(b, kind) for b in rows]
+
+
 def _chunk(batch: pa.RecordBatch) -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
-    """The chunk's name (a hash of its word list), word list, word of each position, positions per document."""
+    """The chunk's name (a hash of its word list), word list (most frequent first), word of each position, positions per document."""
     import xxhash
 
     word, count = units(batch.column(1))
     coded = word.dictionary_encode()
-    listed = coded.dictionary
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    listed = coded.dictionary.take(pa.array(order))
     h = xxhash.xxh64(seed=len(listed))
     for buf in listed.buffers()[1:]:
         h.update(memoryview(buf) if buf is not None else b"")
-    return h.intdigest() - (1 << 63), listed, coded.indices.to_numpy(zero_copy_only=False), count
+    return h.intdigest() - (1 << 63), listed, rank[at], count
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -87,50 +105,59 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def split_words(batches):
         for b in joined(batches, chunk_bytes):
             name, listed, _, _ = _chunk(b)
-            raw = listed.cast(pa.binary()).to_pylist()
-            to = np.fromiter(map(crc32, raw), np.int64, len(raw)) % n_buckets
-            order = np.argsort(to, kind="stable")
-            some, start, count = np.unique(to[order], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), name)), lists(listed.take(pa.array(order)), count), lists(pa.array(order.astype(np.int32)), count)], ["bucket", "chunk", "words", "codes"])
+            raw = listed.cast(pa.binary())
+            to = np.fromiter(map(crc32, raw.to_pylist()), np.int64, len(raw)) % n_buckets
+            order = np.argsort(to, kind="stable")  # a bucket's words stay in the list's order
+            some, start = np.unique(to[order], return_index=True)
+            offsets, body = buffers(raw.take(pa.array(order)))
+            cut = np.append(start, len(order))
+            rows = [(_pack(body[offsets[s] : offsets[e]]), _pack(np.diff(offsets[s : e + 1]).astype("<u4")), _pack(np.diff(order[s:e], prepend=0).astype("<u4"))) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), name)), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]], ["bucket", "chunk", "words", "sizes", "places"])
 
     def encode_bucket(t: pa.Table) -> pa.Table:
-        words = t["words"].combine_chunks()
-        coded = words.flatten().dictionary_encode()
+        sizes = _column(t["sizes"].to_pylist(), "<u4")
+        body = np.concatenate(_column(t["words"].to_pylist(), np.uint8))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        coded = string_view(offsets, body).dictionary_encode()
         flat, lens = encode_words(path, coded.dictionary.to_pylist())
-        ids, n = ragged(lens, coded.indices.to_numpy(zero_copy_only=False), flat)
-        per_row = np.diff(words.offsets.to_numpy(zero_copy_only=False))
-        ends = np.concatenate([[0], np.cumsum(per_row)])
-        total = np.concatenate([[0], np.cumsum(n)])
-        return pa.table({"chunk": t["chunk"], "codes": t["codes"], "lens": lists(pa.array(n.astype(np.int32)), per_row), "ids": lists(pa.array(ids), np.diff(total[ends]))})
+        ids, n = ragged(lens, coded.indices.to_numpy(zero_copy_only=False), flat.astype("<u4"))
+        cut = np.cumsum([0, *map(len, sizes)])
+        at = np.concatenate([[0], np.cumsum(n)])[cut]
+        return pa.table({
+            "chunk": t["chunk"],
+            "places": t["places"],
+            "lens": pa.array([_pack(n[s:e].astype("<u4")) for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+            "ids": pa.array([_pack(ids[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+        })
 
     def positions(batches):
         for b in joined(batches, chunk_bytes):
-            name, _, codes, count = _chunk(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, name)), b.column(0), lists(pa.array(codes.astype(np.int32)), count)], ["chunk", "id", "at"])
+            name, _, at, count = _chunk(b)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), lists(b.column(0), [b.num_rows]), lists(pa.array(count.astype(np.int32)), [b.num_rows]), pa.array([_pack(at.astype("<u4"))], pa.binary())], ["chunk", "id", "count", "at"])
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = left["at"].combine_chunks()
-        codes = at.flatten().to_numpy(zero_copy_only=False)
-        order = right["codes"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        if len(codes) and (not len(order) or codes.max() >= len(order)):
+        at = np.concatenate(_column(left["at"].to_pylist(), "<u4"))
+        places = [np.cumsum(p, dtype=np.int64) for p in _column(right["places"].to_pylist(), "<u4")]
+        lens = np.concatenate([np.zeros(0, "<u4"), *_column(right["lens"].to_pylist(), "<u4")]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, "<u4"), *_column(right["ids"].to_pylist(), "<u4")])
+        order = np.concatenate([np.zeros(0, np.int64), *places])
+        if len(at) and (not len(order) or at.max() >= len(order)):
             raise ValueError("a chunk lacks its word list")
-        lens = right["lens"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        flat = right["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        first = np.concatenate([[0], np.cumsum(lens)])[:-1]
-        place = np.zeros(int(order.max()) + 1 if len(order) else 0, np.int64)
+        first = np.cumsum(lens) - lens
+        place = np.zeros(len(order), np.int64)
         place[order] = np.arange(len(order))
-        pos = place[codes]
-        n = lens[pos].astype(np.int64)
+        pos = place[at]
+        n = lens[pos]
         ends = np.cumsum(n)
         ids = flat[np.repeat(first[pos] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        total = np.concatenate([[0], ends])
-        per_doc = np.diff(total[at.offsets.to_numpy(zero_copy_only=False) - at.offsets[0].as_py()]) if len(at) else np.zeros(0, np.int64)
-        return pa.table({"id": left["id"].combine_chunks(), "ids": lists(pa.array(ids.astype(np.int32)), per_doc)})
+        count = left["count"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        per_doc = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])])
+        return pa.table({"id": left["id"].combine_chunks().flatten(), "ids": lists(pa.array(ids.astype(np.int32)), per_doc)})
 
     ints = T.ArrayType(T.IntegerType())
-    words = src.mapInArrow(split_words, T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("codes", ints)]))
-    table = words.groupBy("bucket").applyInArrow(encode_bucket, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("codes", ints), T.StructField("lens", ints), T.StructField("ids", ints)]))
-    at = src.mapInArrow(positions, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("id", id_type), T.StructField("at", ints)]))
+    words = src.mapInArrow(split_words, "bucket int, chunk long, words binary, sizes binary, places binary")
+    table = words.groupBy("bucket").applyInArrow(encode_bucket, "chunk long, places binary, lens binary, ids binary")
+    at = src.mapInArrow(positions, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("id", T.ArrayType(id_type)), T.StructField("count", ints), T.StructField("at", T.BinaryType())]))
     out = at.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(join_back, T.StructType([T.StructField("id", id_type), T.StructField("ids", ints)]))
     return out.withColumnRenamed("id", id_col)
 
