@@ -117,8 +117,8 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 def word_scores(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Score of every word in every language (0 for the best, ``-CLIP`` at least), whether any is a candidate, sizes, words per text."""
     tri, first, script, size, n_words = _words(texts)
-    if not len(first):
-        return np.zeros((0, len(model["langs"])), np.float32), np.zeros(0, bool), size, n_words
+    if not len(first) or not model["langs"]:
+        return np.zeros((len(first), len(model["langs"])), np.float32), np.zeros(len(first), bool), size, n_words
     s = np.add.reduceat(model["log"][tri], first, axis=0)
     ok = model["allowed"][script]
     s[~ok] = -np.inf
