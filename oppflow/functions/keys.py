@@ -60,11 +60,16 @@ def acronyms(folded: Column, programs_only: bool = False) -> Column:
     return F.when(headline, F.array().cast("array<string>")).otherwise(F.filter(found, lambda a: ~a.isin(drop)))
 
 
-def title_words(folded: Column) -> Column:
-    """Distinct words of four letters or more that tell titles apart, in order."""
+def word_list(folded: Column) -> Column:
+    """Words of four letters or more that tell titles apart, in order."""
     t = F.regexp_replace(strip_marks(F.lower(folded)), r"(?<!\w)\d{4}(?!\w)", "")
     words = F.split(F.regexp_replace(t, r"[^\w\s]", " "), r"\s+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(fixed.TITLE_STOP)))
+    return F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(fixed.TITLE_STOP))
+
+
+def title_words(folded: Column) -> Column:
+    """The same as a set."""
+    return F.array_distinct(word_list(folded))
 
 
 def squash(folded: Column) -> Column:
@@ -77,10 +82,7 @@ def expand_acronyms(title: Column) -> Column:
     """Spelled-out names as acronyms, the first of each."""
     t = _text(title)
     for short, phrase in fixed.GLOSSARY:
-        long = ascii_edges(phrase)
-        at = F.regexp_instr(t, F.lit(f"(?i){long}"))
-        got = F.regexp_extract(t, f"(?i){long}", 0)
-        t = F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), F.lit(short), F.substring(t, at + F.length(got), F.length(t)))).otherwise(t)
+        t = F.regexp_replace(t, f"(?s)^(.*?)(?i:{ascii_edges(phrase)})", f"$1{short}")
     return t
 
 
@@ -101,7 +103,7 @@ def fingerprint(title: Column, url: Column, compat: bool = True) -> Column:
     """The stored identity key: host and year, or acronyms, words and year where the host says nothing; may be empty."""
     t = nfkc(_text(title)) if compat else _text(title)
     domain, year = url_domain(url), F.coalesce(year_of(title), F.lit(""))
-    part = F.array_join(F.slice(F.concat(F.slice(acronyms(t), 1, 2), F.slice(title_words(t), 1, 5)), 1, 5), "-")
+    part = F.array_join(F.slice(F.concat(F.slice(acronyms(t), 1, 2), F.slice(word_list(t), 1, 5)), 1, 5), "-")
     own = F.concat(F.lit("|"), part, F.lit("|"), year)
     return F.when((domain != "") & ~is_aggregator(domain), F.concat(domain, F.lit("||"), year)).when(F.length(own) > 3, own).otherwise("")
 

@@ -30,7 +30,7 @@ def _text(*c: Column) -> Column:
 
 def _has(text: Column, word: Column | str, bounded: bool) -> Column:
     w = F.lit(word) if isinstance(word, str) else word
-    return F.regexp_like(text, F.concat(F.lit(r"\b\Q"), w, F.lit(r"\E\b"))) if bounded else F.contains(text, w)
+    return F.regexp_like(text, F.concat(F.lit(r"(?<!\w)\Q"), w, F.lit(r"\E(?!\w)"))) if bounded else F.contains(text, w)
 
 
 def geo_score(title: Column, text: Column, place: Column, country: Column, willing: Column, word_bounded: bool = True) -> Column:

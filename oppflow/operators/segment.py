@@ -86,7 +86,7 @@ def segment_posts(posts: DataFrame, id_col: str = "post_id", text_col: str = "po
             numbers = F.transform(F.regexp_extract_all("body", F.lit(r"(?m)^\s*(\d{1,2})[.)]\s+"), F.lit(1)), lambda x: x.cast("int"))
             ok = ok & (numbers == F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1))))
         items = F.slice(F.split("body", p), 2, 100)
-        kinds.append(F.when(ok & (F.size(F.filter(items, looks_like_record)) >= 2), F.filter(items, lambda s: F.trim(s) != "")))
+        kinds.append(F.when(ok & (F.size(F.filter(items, lambda x: looks_like_record(x))) >= 2), F.filter(items, lambda s: F.trim(s) != "")))
     rows = rows.withColumn("items", F.coalesce(*kinds))
     many = rows.filter("items IS NOT NULL").select("post_id", F.posexplode("items").alias("segment", "text")).withColumn("segment", F.col("segment") + 1)
     one = rows.filter("items IS NULL").select("post_id", F.lit(0).alias("segment"), F.col("body").alias("text"))

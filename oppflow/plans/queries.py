@@ -91,7 +91,7 @@ p AS (
     regexp_extract_all(title, '\b([A-Z]{{3,}})\b', 1) AS caps,
     regexp_extract_all(expanded, '\b([A-Z]{{3,}})\b', 1) AS caps_expanded,
     regexp_replace(regexp_replace(regexp_replace({_STRIP.format(t="title")}, '\b20\d\d\b', '', 'g'), '^the\s+', ''), '[^a-z0-9]+', '', 'g') AS squash,
-    list_distinct(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({_STRIP.format(t="title")}, '\b\d\d\d\d\b', '', 'g'), '[^\w\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 4 AND w NOT IN {_list(fixed.TITLE_STOP)})) AS words,
+    list_filter(regexp_split_to_array(regexp_replace(regexp_replace({_STRIP.format(t="title")}, '\b\d\d\d\d\b', '', 'g'), '[^\w\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 4 AND w NOT IN {_list(fixed.TITLE_STOP)}) AS word_list, list_distinct(word_list) AS words,
     list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace({_STRIP.format(t="expanded")}, '\b20\d\d\b', '', 'g'), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN {_list(fixed.RESIDUAL_FILLER)}))) AS residual
   FROM p
 ), k AS (
@@ -134,15 +134,15 @@ def page_text(spark, sf_dir):
 
 @query(
     _KEYS
-    + """SELECT id, clean, domain, path, year, squash, array_to_string(words, ' ') AS words, array_to_string(acronyms, ' ') AS acronyms, array_to_string(programs, ' ') AS programs,
-  CASE WHEN own_host THEN domain || '||' || coalesce(year, '') ELSE '|' || array_to_string((acronyms[:2] || words[:5])[:5], '-') || '|' || coalesce(year, '') END AS fingerprint FROM k"""
+    + """SELECT id, clean, domain, path, year, squash, array_to_string(list_sort(words), ' ') AS words, array_to_string(acronyms, ' ') AS acronyms, array_to_string(programs, ' ') AS programs,
+  CASE WHEN own_host THEN domain || '||' || coalesce(year, '') ELSE '|' || array_to_string((acronyms[:2] || word_list[:5])[:5], '-') || '|' || coalesce(year, '') END AS fingerprint FROM k"""
 )
 def record_keys(spark, sf_dir):
     """Identity keys of the records."""
     r = records(spark, sf_dir)
     t, u = F.col("title"), F.col("url")
     join = lambda c: F.array_join(c, " ")
-    return r.select("id", keys.clean_url(u).alias("clean"), keys.url_domain(u).alias("domain"), keys.program_path_key(u).alias("path"), keys.year_of(t).alias("year"), keys.squash(t).alias("squash"), join(keys.title_words(t)).alias("words"), join(keys.acronyms(t)).alias("acronyms"), join(keys.acronyms(t, True)).alias("programs"), keys.fingerprint(t, u, False).alias("fingerprint"))
+    return r.select("id", keys.clean_url(u).alias("clean"), keys.url_domain(u).alias("domain"), keys.program_path_key(u).alias("path"), keys.year_of(t).alias("year"), keys.squash(t).alias("squash"), join(F.array_sort(keys.title_words(t))).alias("words"), join(keys.acronyms(t)).alias("acronyms"), join(keys.acronyms(t, True)).alias("programs"), keys.fingerprint(t, u, False).alias("fingerprint"))
 
 
 @query(_PAIRS + "SELECT * FROM pairs WHERE rule IS NOT NULL")
@@ -154,9 +154,8 @@ def match_pairs(spark, sf_dir):
 @query(
     _PAIRS
     + """, e AS (SELECT id_a AS u, id_b AS v FROM pairs WHERE rule IS NOT NULL UNION ALL SELECT id_b, id_a FROM pairs WHERE rule IS NOT NULL)
-, reach AS (SELECT id, id AS at FROM k UNION SELECT 0, 0 WHERE false)
 , walk AS (
-  WITH RECURSIVE w AS (SELECT id, id AS at FROM k UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.at) SELECT id, min(at) AS cluster FROM w GROUP BY id
+  WITH RECURSIVE w AS (SELECT id, id AS node FROM k UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.node) SELECT id, min(node) AS cluster FROM w GROUP BY id
 ), s AS (
   SELECT k.id, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size,
          row_number() OVER (PARTITION BY cluster ORDER BY CASE WHEN url <> '' THEN 2 ELSE 0 END + CASE WHEN length(description) > 20 THEN 1 ELSE 0 END DESC, k.id) AS n
@@ -183,7 +182,7 @@ def _seen(spark, sf_dir):
     return ids, ids.select(fp.alias("fingerprint"), F.col("id").alias("record_id"), "title", "first_seen").filter(F.length("fingerprint") > 3)
 
 
-_SEEN = f"""{_KEYS}, f AS (SELECT *, CASE WHEN own_host THEN domain || '||' || coalesce(year, '') ELSE '|' || array_to_string((acronyms[:2] || words[:5])[:5], '-') || '|' || coalesce(year, '') END AS fp FROM k),
+_SEEN = f"""{_KEYS}, f AS (SELECT *, CASE WHEN own_host THEN domain || '||' || coalesce(year, '') ELSE '|' || array_to_string((acronyms[:2] || word_list[:5])[:5], '-') || '|' || coalesce(year, '') END AS fp FROM k),
 first AS (SELECT user_id AS id, min(ts) AS first_seen FROM events GROUP BY user_id),
 seen AS (SELECT f.*, first_seen FROM f JOIN first ON first.id = f.id),
 alias AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY first_seen) AS n FROM seen WHERE length(fp) > 3) WHERE n = 1),
@@ -458,11 +457,11 @@ def qualified_titles(spark, sf_dir):
 
 def _catalogue(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    s = F.round(F.pmod(F.col("o_totalprice"), F.lit(500)) / 100, 2)
+    s = F.floor(F.pmod(F.col("o_totalprice"), F.lit(500))) / 100
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("page_id"), s.alias("score"), s.alias("final_score"), score.tier(s, F.array().cast("array<string>")).alias("tier"), (F.col("o_orderstatus") == "F").alias("near_miss_checked"), (F.col("o_orderstatus") == "P").alias("researched"), (F.col("o_orderpriority") == "1-URGENT").alias("pinned"), F.to_date("o_orderdate").alias("scan_date"), F.lit(None).cast("string").alias("url")).withColumn("recommendation", F.col("tier"))
 
 
-_CATALOGUE = """WITH a AS (SELECT *, round((o_totalprice % 500) / 100, 2) AS score FROM orders),
+_CATALOGUE = """WITH a AS (SELECT *, floor(o_totalprice % 500) / 100 AS score FROM orders),
 c AS (SELECT o_orderkey AS id, o_orderkey AS page_id, score, CASE WHEN score >= 3.8 THEN 'APPLY_NOW' WHEN score >= 3.2 THEN 'CONSIDER' WHEN score >= 2.5 THEN 'MONITOR' ELSE 'SKIP' END AS tier, o_orderstatus = 'F' AS checked, o_orderstatus = 'P' AS researched, o_orderpriority = '1-URGENT' AS pinned, o_orderdate::DATE AS scan_date FROM a)
 """
 
@@ -550,14 +549,14 @@ def breakdown_round_trip(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey AS id, l_linenumber AS rank, CASE WHEN l_discount > 0.05 THEN l_extendedprice END AS amount, CASE WHEN l_returnflag = 'N' THEN l_shipdate::DATE END AS dl, [l_returnflag, l_linestatus] AS themes FROM lineitem)
+    """WITH l AS (SELECT l_orderkey AS id, l_linenumber::BIGINT * 1000000000000 + l_partkey * 100000 + l_suppkey AS rank, CASE WHEN l_discount > 0.05 THEN l_extendedprice END AS amount, CASE WHEN l_returnflag = 'N' THEN l_shipdate::DATE END AS dl, [l_returnflag, l_linestatus] AS themes FROM lineitem)
 SELECT id, arg_min(amount, rank) FILTER (WHERE amount IS NOT NULL) AS amount_max, arg_min(dl, rank) FILTER (WHERE dl IS NOT NULL) AS deadline_date, array_to_string(list_sort(list_distinct(flatten(list(themes)))), ',') AS themes,
  CASE (count(amount) > 0)::INT + (count(dl) > 0)::INT WHEN 2 THEN 7 WHEN 1 THEN 2 ELSE 1 END AS ttl_days FROM l GROUP BY id"""
 )
 def merged_candidates(spark, sf_dir):
     """Several result rows per record in one."""
     li = table(spark, sf_dir, "lineitem")
-    rows = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("rank"), F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice")).alias("amount_max"), F.lit(None).cast("double").alias("amount_min"), F.when(F.col("l_returnflag") == "N", F.to_date("l_shipdate")).alias("deadline_date"), F.lit("unknown").alias("deadline_kind"), F.array("l_returnflag", "l_linestatus").alias("themes"))
+    rows = li.select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("rank"), F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice")).alias("amount_max"), F.lit(None).cast("double").alias("amount_min"), F.when(F.col("l_returnflag") == "N", F.to_date("l_shipdate")).alias("deadline_date"), F.lit("unknown").alias("deadline_kind"), F.array("l_returnflag", "l_linestatus").alias("themes"))
     return merge.merge_candidates(rows).select("id", "amount_max", "deadline_date", F.array_join("themes", ",").alias("themes"), "ttl_days")
 
 
