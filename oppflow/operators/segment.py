@@ -105,7 +105,7 @@ def split_multi_link(posts: DataFrame, id_col: str = "post_id") -> DataFrame:
 def post_to_record(posts: DataFrame) -> DataFrame:
     """Posts as records: the first link that is no junk, else the post, else the page; hashtags as themes."""
     good = F.filter("links", lambda l: l["junk"].isNull())
-    return posts.select(F.col("post_id").alias("id"), F.col("source_name").alias("source"), "title", F.col("post_text").alias("description"), F.coalesce(good[0]["url"], F.col("post_url"), F.col("source_url")).alias("url"), (F.size(good) == 0).alias("url_is_fallback"), F.col("hashtags").alias("themes"), F.col("detected_at").alias("fetched_at"))
+    return posts.select(F.col("post_id").alias("id"), F.col("source_name").alias("source"), "title", F.col("post_text").alias("description"), F.coalesce(F.get(good, 0)["url"], F.col("post_url"), F.col("source_url")).alias("url"), (F.size(good) == 0).alias("url_is_fallback"), F.col("hashtags").alias("themes"), F.col("detected_at").alias("fetched_at"))
 
 
 def classify_links(links: DataFrame) -> DataFrame:

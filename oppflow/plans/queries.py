@@ -362,7 +362,7 @@ def prescore(spark, sf_dir):
     p = score.prescore(_scored_records(spark, sf_dir), _profiles(spark), _day())
     total = sum((F.col(f"scores.{x}") for x in ("geo", "size", "deadline", "org_type", "partnership")), F.lit(0.0))
     hard = F.filter("flags", lambda f: f != "DEADLINE_TOO_CLOSE")
-    return p.select("id", "org", F.round(total, 3).alias("total"), "days_remaining", F.when(F.size(hard) > 0, False).otherwise(F.col("days_remaining") < 15).alias("too_close"), F.when(F.size(hard) > 0, hard[0]).alias("hard"))
+    return p.select("id", "org", F.round(total, 3).alias("total"), "days_remaining", F.when(F.size(hard) > 0, False).otherwise(F.col("days_remaining") < 15).alias("too_close"), F.when(F.size(hard) > 0, F.get(hard, 0)).alias("hard"))
 
 
 @query(
@@ -662,10 +662,10 @@ def feed_metrics(spark, sf_dir):
 # Vectors --------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95")
+@query("SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4")
 def similar_vectors(spark, sf_dir):
-    """All pairs of almost equal vectors."""
-    return resolve.similar_vectors(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), threshold=fixed.VERY_SIMILAR).withColumn("score", F.round("score", 4))
+    """All pairs of similar vectors."""
+    return resolve.similar_vectors(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), threshold=0.4).withColumn("score", F.round("score", 4))
 
 
 @query()
