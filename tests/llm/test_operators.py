@@ -363,3 +363,8 @@ def test_raking_with_shuffles_is_the_same(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ONE_TASK_CELLS", 0)
     b = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a)
+
+
+def test_exact_dedupe_keeps_one_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in exact_dedup.dedupe(docs).collect()) == [1, 1, 3]
