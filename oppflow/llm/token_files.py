@@ -21,6 +21,7 @@ gives no shards; other columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -34,12 +35,15 @@ from oppflow.llm.arrowtext import joined, lists, ragged, units
 from oppflow.llm.bpe import encode_words, tokenizer
 from oppflow.shared import new_path
 
-#: Words that a worker process keeps the ids of.
-CACHE_WORDS = 400_000
+#: Words that each half of a worker process's table keeps the ids of.
+CACHE_WORDS = 450_000
 #: Bytes of text encoded at a time.
 PIECE_BYTES = 8 << 20
-_cache: dict[str, dict[str, bytes]] = {}
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
+_cache: dict[tuple[str, str], tuple[dict[str, bytes], dict[str, bytes]]] = {}
+#: What a unit must not hold to be plain: letters beyond ASCII and composed Latin ones, and special tokens. The pieces of plain
+#: units, in lower case, do not depend on what stands beside them; a line end ends a unit.
+_ODD = "[^\\x00-\\x7FÀ-ÖØ-öø-ÿ]|<\\|"
+_PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|\n|[^ \t\n\x0b\x0c\ra-z\xdf-\xf6\xf8-\xff0-9]+")
 
 
 def _store(where: str) -> tuple[fs.FileSystem, str]:
@@ -60,51 +64,94 @@ def _write(where: str, name: str, parts: list) -> None:
     store.move(own, f"{path}/{name}")
 
 
-def _known(path: str, words: list[str]) -> list[bytes]:
-    """Ids of each word as bytes of uint32, from the worker's bounded table or the tokenizer."""
-    table = _cache.setdefault(path, {})
-    new = [w for w in words if w not in table]
-    if len(table) + len(new) > CACHE_WORDS:
-        table.clear()
-        new = list(words)
+def _encode_plain(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Like encode_words for words that are one piece each to the tokenizer: in one call, cut after the ids that end a word."""
+    t = tokenizer(path)
+    ids = np.array(t.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
+    last = np.flatnonzero(_ends(path)[ids])
+    if len(last) != len(words):
+        return encode_words(path, words)
+    return ids, np.diff(last, prepend=-1)
+
+
+@lru_cache(maxsize=2)
+def _ends(path: str) -> np.ndarray:
+    """Which ids end a word."""
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+    return out
+
+
+def _known(path: str, words: list[str], encode) -> list[bytes]:
+    """Ids of each word as bytes of uint32, from the worker's bounded table or the tokenizer.
+
+    The table has a young and an old half; words that are met again are young.
+    """
+    young, old = _cache.setdefault((path, encode.__name__), ({}, {}))
+    if len(young) + len(words) > CACHE_WORDS:
+        young, old = _cache[path, encode.__name__] = ({}, young)
+    new = []
+    for w in words:
+        if w not in young:
+            if (got := old.get(w)) is not None:
+                young[w] = got
+            else:
+                new.append(w)
     if new:
-        flat, lens = encode_words(path, new)
-        body, ends = flat.astype("<u4").tobytes(), np.cumsum(lens) * 4
-        start = 0
+        flat, lens = encode(path, new)
+        body, ends, start = flat.astype("<u4").tobytes(), np.cumsum(lens) * 4, 0
         for w, e in zip(new, ends.tolist(), strict=True):
-            table[w] = body[start:e]
+            young[w] = body[start:e]
             start = e
-    return [table[w] for w in words]
+    return [young[w] for w in words]
+
+
+def _runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a list of words, and how many each has."""
+    return np.frombuffer(b"".join(words), "<u4"), np.fromiter(map(len, words), np.int64, len(words)) // 4
+
+
+def _plain_ids(path: str, units_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of units whose pieces do not depend on each other, through the distinct pieces of all of them."""
+    if not len(units_):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    piece = pa.array(_PLAIN.findall("\n".join(pc.utf8_lower(units_).to_pylist()) + "\n"), pa.string()).dictionary_encode()
+    listed = piece.dictionary.to_pylist()
+    at = piece.indices.to_numpy(zero_copy_only=False)
+    end = listed.index("\n")
+    flat, lens = _runs(_known(path, [w for w in listed if w != "\n"], _encode_plain))
+    lens = np.insert(lens, end, 0)
+    ids, n = ragged(lens, at, flat)
+    return ids, np.diff(np.cumsum(n)[at == end], prepend=0)
 
 
 def encode_texts(path: str, texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in order, and the number of ids of each; every distinct word goes to the tokenizer once.
 
     ``lower``: the vocabulary drops white space and lower-cases, so plain
-    ASCII words can share the ids of their lower-cased parts.
+    words can share the ids of their lower-cased pieces.
     """
     word, count = units(texts)
     coded = word.dictionary_encode()
     distinct = coded.dictionary
     if lower:
         distinct = pc.utf8_trim(distinct, characters=" \t\n\x0b\x0c\r")
-    listed = distinct.to_pylist()
-    if lower:
-        parts = [_PLAIN.findall(w.lower()) if w.isascii() and "<|" not in w else [w] for w in listed]
-        each = pa.array([p for ps in parts for p in ps], pa.string()).dictionary_encode()
-        ids = _known(path, each.dictionary.to_pylist())
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, n = ragged(lens, each.indices.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(ids), "<u4"))
-        per = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.concatenate([[0], np.cumsum(n)])
-        lens = np.diff(ends[np.concatenate([[0], np.cumsum(per)])])
+        odd = pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False)
     else:
-        ids = _known(path, listed)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-    got, n = ragged(lens, coded.indices.to_numpy(zero_copy_only=False), flat)
-    ends = np.concatenate([[0], np.cumsum(n)])
-    return got, np.diff(ends[np.concatenate([[0], np.cumsum(count)])])
+        odd = np.ones(len(distinct), bool)
+    plain, plain_n = _plain_ids(path, distinct.filter(pa.array(~odd)))
+    rest, rest_n = _runs(_known(path, distinct.filter(pa.array(odd)).to_pylist(), encode_words))
+    lens = np.zeros(len(distinct), np.int64)
+    start = np.zeros(len(distinct), np.int64)
+    for mine, n, base in ((~odd, plain_n, 0), (odd, rest_n, len(plain))):
+        lens[mine] = n
+        start[mine] = base + np.cumsum(n) - n
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    n = lens[at]
+    ends = np.cumsum(n)
+    got = np.concatenate([plain, rest])[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    return got, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])])
 
 
 def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_rows: int | None = None) -> tuple[str, int]:
