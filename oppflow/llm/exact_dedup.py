@@ -75,4 +75,5 @@ def digest(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows with equal ids stay or go together."""
     gone = groups(docs, id_col, text_col).filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_gone")).distinct()
+    gone = materialize(gone, "gone")  # its size is known now: a small one is broadcast, and the texts stay where they are
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")

@@ -108,4 +108,4 @@ def digest(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id") -> DataFrame:
     """The sampled rows of ``docs``, with all their columns."""
     out = sample(docs, targets, id_col=id_col).filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(out, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(materialize(out, "gone"), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
