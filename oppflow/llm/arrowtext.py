@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,15 @@ _MAYBE_SPACE_END = np.zeros(256, bool)
 _MAYBE_SPACE_END[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
 
 
+def release() -> None:
+    """Give freed memory back to the system; worker processes live on after a stage and share an executor's memory with the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (from 0, int64) and bytes of a string column; null counts as empty."""
     if texts.null_count:

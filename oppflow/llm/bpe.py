@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import buffers, joined, lists, ragged, string_view, units
+from oppflow.llm.arrowtext import buffers, joined, lists, ragged, release, string_view, units
 
 #: Bytes of text whose words share one word list.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 #: Words in one call of the tokenizer.
 _CALL = 2000
 
@@ -113,8 +113,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             cut = np.append(start, len(order))
             rows = [(_pack(body[offsets[s] : offsets[e]]), _pack(np.diff(offsets[s : e + 1]).astype("<u4")), _pack(np.diff(order[s:e], prepend=0).astype("<u4"))) for s, e in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), name)), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]], ["bucket", "chunk", "words", "sizes", "places"])
+            del listed, raw, order, offsets, body, rows
+            release()
 
     def encode_bucket(t: pa.Table) -> pa.Table:
+        release()
         sizes = _column(t["sizes"].to_pylist(), "<u4")
         body = np.concatenate(_column(t["words"].to_pylist(), np.uint8))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
@@ -134,8 +137,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in joined(batches, chunk_bytes):
             name, _, at, count = _chunk(b)
             yield pa.RecordBatch.from_arrays([pa.array([name]), lists(b.column(0), [b.num_rows]), lists(pa.array(count.astype(np.int32)), [b.num_rows]), pa.array([_pack(at.astype("<u4"))], pa.binary())], ["chunk", "id", "count", "at"])
+            del at, count
+            release()
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         at = np.concatenate(_column(left["at"].to_pylist(), "<u4"))
         places = [np.cumsum(p, dtype=np.int64) for p in _column(right["places"].to_pylist(), "<u4")]
         lens = np.concatenate([np.zeros(0, "<u4"), *_column(right["lens"].to_pylist(), "<u4")]).astype(np.int64)
@@ -180,6 +186,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             pieces = piece_table(path)
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
@@ -190,6 +198,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 cut = offs[ids.offsets.to_numpy(zero_copy_only=False) - ids.offsets[0].as_py()]
                 texts = [bytes(body[s:e]).decode("utf-8", "replace") for s, e in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], [id_col, ids_col, "decoded"])
+            del b, part, ids, got, texts
+            release()
 
     return cols.mapInArrow(run, T.StructType([*cols.schema.fields, T.StructField("decoded", T.StringType())]))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import buffers, lists, pieces
+from oppflow.llm.arrowtext import buffers, lists, pieces, release
 
 #: About so many labelled rows are learned from (chosen by a hash of their ids).
 TRAIN_ROWS = 8000
@@ -33,7 +33,7 @@ CLIP = 6.0
 #: A script is a language's own if at least this share of its words begins in it.
 SCRIPT_SHARE = 0.005
 _BITS = 16
-_PIECE = 8 << 20
+_PIECE = 4 << 20
 _PART = 1 << 20
 #: First code points of script ranges: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai and Lao, Tibetan, Burmese,
 #: Georgian, Hangul jamo, Ethiopic and others, Latin (extended), symbols, kana, Han, Hangul, others.
@@ -195,6 +195,8 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             base = (np.cumsum(n_words) - n_words)[doc[start]] if len(start) else start
             spans = pa.StructArray.from_arrays([pa.array(langs[path[start]] if n_langs else np.full(len(start), "und", object), pa.string()), pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], ["lang", "start", "end"])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[pred], pa.string()), pa.array(score), lists(spans, np.bincount(doc[start], minlength=len(n_words)))], ["id", "lang_pred", "score", "spans"])
+            del got, scores, path, doc, spans
+            release()
 
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import buffers, pieces
+from oppflow.llm.arrowtext import buffers, pieces, release
 
 #: Bytes of text encoded, or of images decoded, at a time.
 PIECE_BYTES = 1 << 20
@@ -296,6 +296,7 @@ def describe(media: DataFrame, payload: bool = True) -> DataFrame:
             datas = b.column(1).to_pylist()
             rows = [row(d, g) for d, g in zip(datas, decode_images(datas), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]], names)
+            release()
 
     return src.mapInArrow(run, T.StructType(fields))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import pieces, words
+from oppflow.llm.arrowtext import pieces, release, words
 from oppflow.llm.components import Forest, components
 from oppflow.shared import materialize
 
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for b in pieces(batches, _PIECE):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_fingerprints(b.column(1), shingle).view(np.int64))], ["id", "fp"])
+        release()
 
     return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("fp", T.LongType())]))
 
@@ -177,4 +178,4 @@ def digest(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The row with the smallest id of each component, with all its columns."""
     gone = near_duplicates(docs, id_col, text_col, shingle, radius).filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(materialize(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oppflow.llm.arrowtext import joined, lists, ragged, units
+from oppflow.llm.arrowtext import joined, lists, ragged, release, units
 from oppflow.llm.bpe import encode_words, tokenizer
 from oppflow.shared import new_path
 
@@ -185,6 +185,7 @@ def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, id_co
             lens.append(count + 1)
             doc.append(pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False))
             no_id.append(pc.is_null(b.column(0)).to_numpy(zero_copy_only=False))
+            release()
         if at is not None:
             _write(where, f"shard-{at:05d}.bin", held)
             offs = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype("<i8")
