@@ -12,7 +12,10 @@ gives the matching statistics of every position; those that reach ``window``
 words and whose earliest occurrence is not themselves are reported as intervals.
 
 Copies are combined within each task before any shuffle, so a passage that a
-third of all documents hold sends one run a task. A document's text is shuffled
+third of all documents hold sends one run a task. A minimizer that stands in
+many different runs (a line that many documents share) is found in a sample of
+documents; its runs are dealt by their words and all looked into, which changes
+where they meet and not what is found. A document's text is shuffled
 once, and once more only if some of its runs went to an index.
 
 Order is by document id, then position. Defined results: null and empty texts
@@ -32,13 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oppflow.llm.arrowtext import pieces, word_column, words
-from oppflow.shared import materialize
+from oppflow.shared import free_shuffles, materialize
 
 WINDOW = 20
 #: Words of a minimizer, and of the second one.
 SEED_WORDS, SECOND_WORDS = 10, 12
 #: Words of one FM-index, about.
 SHARD_WORDS = 400_000
+#: Documents, about, in which widely shared minimizers are looked for; a minimizer is one if it has so many different runs there.
+SAMPLE_DOCS, SHARED_RUNS, MOST_SHARED = 5000, 5, 10_000
 _PIECE = 2 << 20
 _BLOCK = 1 << 22
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -266,6 +271,23 @@ def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return materialize(src.orderBy(F.col("id").asc_nulls_last(), "text").select(F.monotonically_increasing_id().alias("doc"), "id", "text"), "ordered")
 
 
+def shared_seeds(src: DataFrame, window: int) -> np.ndarray:
+    """Minimizers with many different runs in a sample of ``src``, at most ``MOST_SHARED``."""
+
+    def seeds(batches):
+        for b in pieces(batches, _PIECE):
+            data, start, end, count = words(b.column(0))
+            h = word_hashes(data, start, end)
+            m, s, n = runs(h, np.repeat(np.arange(len(count)), count), window, SEED_WORDS, 1)
+            both = np.unique(np.stack([m, run_hashes(h, s, n + window - 1)]), axis=1)
+            yield pa.RecordBatch.from_arrays([_signed(both[0]), _signed(both[1])], ["seed", "words"])
+
+    share = min(1.0, SAMPLE_DOCS / max(src.count(), 1))
+    some = src.filter(F.pmod(F.xxhash64("doc"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("text")
+    counts = some.mapInArrow(seeds, "seed long, words long").distinct().groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED_RUNS)
+    return np.array([r.seed for r in counts.orderBy(F.desc("n"), "seed").limit(MOST_SHARED).collect()], np.int64)
+
+
 def removed_words(n_words: int, spans: list[int], window: int) -> np.ndarray:
     """Marks of the words that the spans (first word << 5 | windows) cover."""
     edge = np.zeros(n_words + 1, np.int64)
@@ -278,6 +300,7 @@ def removed_words(n_words: int, spans: list[int], window: int) -> np.ndarray:
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``id, n_words, n_removed, kept_text`` of every row, but with the SHA-256 of the kept text: ``kept_sha256``."""
     src = ordered(docs, id_col, text_col)
+    shared = shared_seeds(src, window)
 
     def make_runs(batches):
         for b in pieces(batches, _PIECE):
@@ -291,8 +314,10 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
             at = (s - (np.cumsum(count) - count)[of]) << 5 | n
             first = _first_of(m, c, doc, at)
             # a later copy within this task needs no group: it goes anywhere, marked
-            m = np.where(first, m, _mix(c + doc.astype(np.uint64) + at.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([_signed(m), _signed(np.where(first, c | np.uint64(1), np.uint64(0))), _signed(doc), _signed(at)], ["seed", "words", "doc", "at"])
+            wide = np.isin(m.view(np.int64), shared)
+            m = np.where(first, np.where(wide, _mix(m + c), m), _mix(c + doc.astype(np.uint64) + at.astype(np.uint64)))
+            c = c & ~np.uint64(3) | np.where(wide, np.uint64(3), np.uint64(1))
+            yield pa.RecordBatch.from_arrays([_signed(m), _signed(np.where(first, c, np.uint64(0))), _signed(doc), _signed(at)], ["seed", "words", "doc", "at"])
 
     def settle(batches):
         """Spans to remove (kind 0) and runs to look into (kind 1), from groups of one minimizer."""
@@ -301,6 +326,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
             done = t.filter(pa.array(copy))
             t = t.filter(pa.array(~copy))
             first, look = _groups(t, "seed")
+            look |= first & (t["words"].to_numpy() & 3 == 3)
             for x, keep, kind in ((done, np.ones(done.num_rows, bool), 0), (t, ~first, 0), (t, look, 1)):
                 x = x.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([x["doc"].combine_chunks(), pa.array(x["at"].to_numpy() << 1 | kind)], ["doc", "span"])
@@ -374,6 +400,8 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
     out_schema = "kind int, id long, n_words long, n_removed long, kept_sha256 string, doc long, text string, spans array<long>, seed long, words long, at long"
     seen = materialize(with_spans.mapInArrow(cut_again, out_schema), "runs")
+    del found, per_doc, with_spans
+    free_shuffles(docs.sparkSession)  # the first step's files are not needed for the rest
 
     def search(batches):
         """Spans to remove from groups of both minimizers: copies by hash, the rest through the shard's index."""
