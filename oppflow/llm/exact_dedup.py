@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oppflow.shared import materialize
+from oppflow.shared import freeing_shuffles, materialize
 
 #: A chunk has 256 to 4096 code points and ends early after this mark, which text has every few hundred characters.
 CUT = r"(?s).{256,4096}?(?:[a-mA-M][n-zN-Z][aeiou\d][c-h]|[^\x00-\x7F][^\x00-\x7F][a-m])|.{1,4096}"
@@ -47,7 +47,8 @@ def chunk_id(c: Column) -> Column:
 def ambiguous_ids(norm: DataFrame, ident=chunk_id) -> list[int]:
     """Identifiers that stand for more than one chunk text, read from all distinct chunks of column ``norm``."""
     distinct = norm.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(ident(F.col("chunk")).alias("cid"), "chunk").distinct()
-    return [r.cid for r in distinct.groupBy("cid").count().filter("count > 1").select("cid").collect()]
+    with freeing_shuffles(norm.sparkSession):
+        return [r.cid for r in distinct.groupBy("cid").count().filter("count > 1").select("cid").collect()]
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ident=chunk_id) -> DataFrame:
