@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oppflow.llm.arrowtext import pieces, word_column, words
-from oppflow.shared import free_shuffles, materialize
+from oppflow.shared import freeing_shuffles, materialize
 
 WINDOW = 20
 #: Words of a minimizer, and of the second one.
@@ -265,7 +265,8 @@ def _groups(t: pa.Table, key: str):
 def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, id, text``: ``doc`` is the id itself if ids are whole and unique, else a number in the order of ids."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    twice = src.groupBy("id").count().filter("count > 1 OR id IS NULL").limit(1).count()
+    with freeing_shuffles(docs.sparkSession):
+        twice = src.groupBy("id").count().filter("count > 1 OR id IS NULL").limit(1).count()
     if not twice:
         return src.select(F.col("id").alias("doc"), "id", "text")
     return materialize(src.orderBy(F.col("id").asc_nulls_last(), "text").select(F.monotonically_increasing_id().alias("doc"), "id", "text"), "ordered")
@@ -285,7 +286,8 @@ def shared_seeds(src: DataFrame, window: int) -> np.ndarray:
     share = min(1.0, SAMPLE_DOCS / max(src.count(), 1))
     some = src.filter(F.pmod(F.xxhash64("doc"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("text")
     counts = some.mapInArrow(seeds, "seed long, words long").distinct().groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED_RUNS)
-    return np.array([r.seed for r in counts.orderBy(F.desc("n"), "seed").limit(MOST_SHARED).collect()], np.int64)
+    with freeing_shuffles(src.sparkSession):
+        return np.array([r.seed for r in counts.orderBy(F.desc("n"), "seed").limit(MOST_SHARED).collect()], np.int64)
 
 
 def removed_words(n_words: int, spans: list[int], window: int) -> np.ndarray:
@@ -400,8 +402,6 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
     out_schema = "kind int, id long, n_words long, n_removed long, kept_sha256 string, doc long, text string, spans array<long>, seed long, words long, at long"
     seen = materialize(with_spans.mapInArrow(cut_again, out_schema), "runs")
-    del found, per_doc, with_spans
-    free_shuffles(docs.sparkSession)  # the first step's files are not needed for the rest
 
     def search(batches):
         """Spans to remove from groups of both minimizers: copies by hash, the rest through the shard's index."""
