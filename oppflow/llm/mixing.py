@@ -2,8 +2,12 @@
 
 Token counts are summed into cells of source, language and topic; the cells'
 weights are raked in turn to the target shares of each margin until all margins
-hold; a document is then sampled with the calibrated probability of its cell,
-scaled so that the largest is 1, by a hash of its id.
+hold; a document is then sampled with the calibrated probability of its cell by
+a hash of its id (of its text if the id is null). Probabilities are
+``min(1, c * weight / tokens)``: ``c`` makes the largest of them 1 if at least
+``KEPT_SHARE`` of the tokens stay that way, so that all shares are met. Where
+rare cells would push all others below that, ``c`` is raised until that share
+stays, and cells that reach 1 are kept whole.
 
 Only the cell table is iterated over, never the documents; while it has at most
 ``ONE_TASK_CELLS`` rows one task rakes it without a shuffle, beyond that each
@@ -13,8 +17,8 @@ Defined results: null source, language or topic is a value of its own; null and
 wordless texts have no tokens and get the probability of their cell, or 1 where
 the cell has no tokens at all; a target for a value that no document has is
 left out and the others are scaled to 1; a value without a target keeps its
-observed share; repeated ids are kept or dropped together; an empty table gives
-no rows; other columns are ignored.
+observed share; repeated ids of a cell are kept or dropped together; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +30,14 @@ from oppflow.shared import materialize
 
 #: Default targets: a margin's observed shares to this power, scaled to 1.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+#: At least this share of the tokens is expected to stay.
+KEPT_SHARE = 0.5
 #: Margins may differ from their targets by this share of them.
 TOLERANCE = 1e-6
 MOST_ROUNDS = 60
 ONE_TASK_CELLS = 200_000
 _ROUNDS_PER_WRITE = 6
+MARGINS = ["source", "lang", "topic"]
 
 
 def default_topic(text: Column) -> Column:
@@ -38,11 +45,11 @@ def default_topic(text: Column) -> Column:
     return F.when(text.rlike("(?i)licen[sc]e|copyright"), "legal").when(text.rlike(r"[\w.]+@\w+\.\w+"), "contact").when(F.contains(text, F.lit(" | ")), "table").otherwise("prose")
 
 
-def documents_in_cells(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``id, source, lang, topic, tokens`` of every row."""
+def documents_in_cells(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 42) -> DataFrame:
+    """``id, source, lang, topic, tokens`` and the sampling hash ``chance`` of every row."""
     none = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), none(F.col(source_col)).alias("source"), none(F.col(lang_col)).alias("lang"), none(default_topic(text) if topic is None else topic).alias("topic"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"))
+    return docs.select(F.col(id_col).alias("id"), none(F.col(source_col)).alias("source"), none(F.col(lang_col)).alias("lang"), none(default_topic(text) if topic is None else topic).alias("topic"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), _chance(id_col, text_col, seed).alias("chance"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -89,15 +96,42 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
     return out.select("source", "lang", "topic", "tokens", "weight")
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def scale(raked: DataFrame, kept_share: float = KEPT_SHARE) -> float:
+    """The factor ``c`` of the probabilities ``min(1, c * ratio)``, solved over ``tokens, ratio`` of the cells."""
+    total, largest = raked.agg(F.sum("tokens"), F.max("ratio")).first()
+    if not largest:
+        return 1.0
+    c = 1.0 / largest
+    while True:  # each round some cells more are whole, until c fits those that are
+        whole = F.col("ratio") * F.lit(c) >= 1
+        kept, rest, steps = raked.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(whole, 0.0).otherwise(F.col("tokens") * F.col("ratio"))), F.count(F.when(~whole, True))).first()
+        if not steps or not rest:
+            return c
+        wanted = (kept_share * total - kept) / rest
+        if wanted <= c * (1 + 1e-12):
+            return c
+        c = wanted
+
+
+def _chance(id_col: str, text_col: str, seed: int) -> Column:
+    """A number from 0 to 1 by a hash of the id, or of the text of a row without one."""
+    of = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    none = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(seed))
+    return F.pmod(F.when(F.col(id_col).isNull(), none).otherwise(of), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def _calibrated(rows: DataFrame, targets: dict[str, DataFrame] | None, kept_share: float) -> DataFrame:
+    """``source, lang, topic, probability`` of the cells of ``rows``."""
+    cells = materialize(rows.groupBy(MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
+    raked = rake(cells, targets).select(*MARGINS, "tokens", (F.col("weight") / F.col("tokens")).alias("ratio"))
+    return raked.select(*MARGINS, F.least(F.col("ratio") * F.lit(scale(raked, kept_share)), F.lit(1.0)).alias("probability"))
+
+
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", kept_share: float = KEPT_SHARE) -> DataFrame:
     """Every row's cell, its calibrated ``probability`` and whether it is ``kept``."""
-    rows = materialize(documents_in_cells(docs, topic, id_col, text_col, source_col, lang_col), "in_cells")
-    margins = ["source", "lang", "topic"]
-    cells = materialize(rows.groupBy(margins).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets).select(*margins, (F.col("weight") / F.col("tokens")).alias("ratio"))
-    largest = raked.agg(F.max("ratio")).first()[0] or 1.0
-    chance = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return rows.join(raked, margins, "left").select("id", *margins, "tokens", F.coalesce(F.col("ratio") / F.lit(largest), F.lit(1.0)).alias("probability")).withColumn("kept", chance < F.col("probability"))
+    rows = materialize(documents_in_cells(docs, topic, id_col, text_col, source_col, lang_col, seed), "in_cells")
+    got = rows.join(_calibrated(rows, targets, kept_share), MARGINS, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    return got.select("id", *MARGINS, "tokens", "probability", (F.col("chance") < F.col("probability")).alias("kept"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
