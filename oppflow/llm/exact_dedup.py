@@ -11,8 +11,8 @@ texts. Everything after that works on recipes, some bytes a document.
 Defined results: null counts as empty; all empty texts are one group; of a
 group the row with the most code points in its original text, then the
 smallest id, stays (a null id sorts last); repeated rows with the same id are
-rows of their own and are kept or dropped with that id, only one of them being
-kept; other columns are ignored.
+rows of their own, only one of a group being kept (:func:`dedupe` judges by id
+and text, so rows equal in both stay or go together); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows with equal ids stay or go together."""
-    gone = groups(docs, id_col, text_col).filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_gone")).distinct()
+    """The rows of ``docs`` that stay, with all their columns; rows with equal ids and equal texts stay or go together."""
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    gone = groups(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text").filter(F.col("id") != F.col("keep_id")).select(F.col("id.id").alias("_gone"), F.col("id.h").alias("_h")).distinct()
     gone = materialize(gone, "gone")  # its size is known now: a small one is broadcast, and the texts stay where they are
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_h")), "left_anti")

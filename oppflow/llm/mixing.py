@@ -45,11 +45,17 @@ def default_topic(text: Column) -> Column:
     return F.when(text.rlike("(?i)licen[sc]e|copyright"), "legal").when(text.rlike(r"[\w.]+@\w+\.\w+"), "contact").when(F.contains(text, F.lit(" | ")), "table").otherwise("prose")
 
 
+def _cell(topic: Column | None, text_col: str, source_col: str, lang_col: str) -> dict[str, Column]:
+    """The cell of a row."""
+    none = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
+    return {"source": none(F.col(source_col)), "lang": none(F.col(lang_col)), "topic": none(default_topic(F.coalesce(F.col(text_col), F.lit(""))) if topic is None else topic)}
+
+
 def documents_in_cells(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 42) -> DataFrame:
     """``id, source, lang, topic, tokens`` and the sampling hash ``chance`` of every row."""
-    none = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), none(F.col(source_col)).alias("source"), none(F.col(lang_col)).alias("lang"), none(default_topic(text) if topic is None else topic).alias("topic"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), _chance(id_col, text_col, seed).alias("chance"))
+    cell = _cell(topic, text_col, source_col, lang_col)
+    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return docs.select(F.col(id_col).alias("id"), *[cell[m].alias(m) for m in MARGINS], tokens.alias("tokens"), _chance(id_col, text_col, seed).alias("chance"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -140,6 +146,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """The sampled rows of ``docs``, with all their columns."""
-    out = sample(docs, targets, id_col=id_col).filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(out, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The sampled rows of ``docs``, with all their columns; each row is judged by itself."""
+    cells = _calibrated(documents_in_cells(docs, id_col=id_col), targets, KEPT_SHARE).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("probability").alias("_probability"))
+    cell = _cell(None, "text", "source", "lang")
+    placed = docs.withColumns({f"_{m}": cell[m] for m in MARGINS} | {"_chance": _chance(id_col, "text", 42)})
+    out = placed.join(cells, [f"_{m}" for m in MARGINS], "left").filter(F.col("_chance") < F.coalesce("_probability", F.lit(1.0)))
+    return out.select([f"`{c}`" for c in docs.columns])
