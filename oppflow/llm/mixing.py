@@ -2,7 +2,9 @@
 
 Token counts are summed into cells of source, language and topic; the cells'
 weights are raked in turn to the target shares of each margin until all margins
-hold; a document is then sampled with the calibrated probability of its cell by
+hold. Margins that contradict each other cannot all hold: raking then ends after
+``MOST_ROUNDS`` with the margin raked last met, :func:`raked` returns how far
+each margin is off, and a warning says so. A document is then sampled with the calibrated probability of its cell by
 a hash of its id (of its text if the id is null). Probabilities are
 ``min(1, c * weight / tokens)``: ``c`` makes the largest of them 1 if at least
 ``KEPT_SHARE`` of the tokens stay that way, so that all shares are met. Where
@@ -23,6 +25,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +63,19 @@ def documents_in_cells(docs: DataFrame, topic: Column | None = None, id_col: str
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Add ``weight`` (the tokens that the cell should have) to ``source, lang, topic, tokens``.
+    """The cells of :func:`raked`; a warning names the margins that do not hold."""
+    out, off = raked(cells, targets)
+    missed = {m: x for m, x in off.items() if x > TOLERANCE}
+    if missed:
+        warnings.warn("margins differ from their targets by a share of " + ", ".join(f"{x:.3g} ({m})" for m, x in missed.items()), stacklevel=2)
+    return out
+
+
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """``weight`` (the tokens that the cell should have) added to ``source, lang, topic, tokens``, and how far each margin is off.
 
-    ``targets``: for a margin, its wanted shares as ``value, share``.
+    ``targets``: for a margin, its wanted shares as ``value, share``. A margin's
+    deviation is the largest of its values', as a share of the value's target.
     """
     out = cells.filter("tokens > 0")
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
@@ -97,20 +111,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
         seen = out.coalesce(1) if one else out
         for m in TEMPER:
             seen = seen.withColumn(f"now_{m}", F.sum("weight").over(Window.partitionBy(m)))
-        if max((x or 0.0) for x in seen.agg(*off).first()) <= TOLERANCE:
+        left = {m: x or 0.0 for m, x in zip(TEMPER, seen.agg(*off).first(), strict=True)}
+        if max(left.values()) <= TOLERANCE:
             break
-    return out.select("source", "lang", "topic", "tokens", "weight")
+    return out.select("source", "lang", "topic", "tokens", "weight"), left
 
 
-def scale(raked: DataFrame, kept_share: float = KEPT_SHARE) -> float:
+def scale(ratios: DataFrame, kept_share: float = KEPT_SHARE) -> float:
     """The factor ``c`` of the probabilities ``min(1, c * ratio)``, solved over ``tokens, ratio`` of the cells."""
-    total, largest = raked.agg(F.sum("tokens"), F.max("ratio")).first()
+    total, largest = ratios.agg(F.sum("tokens"), F.max("ratio")).first()
     if not largest:
         return 1.0
     c = 1.0 / largest
     while True:  # each round some cells more are whole, until c fits those that are
         whole = F.col("ratio") * F.lit(c) >= 1
-        kept, rest, steps = raked.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(whole, 0.0).otherwise(F.col("tokens") * F.col("ratio"))), F.count(F.when(~whole, True))).first()
+        kept, rest, steps = ratios.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(whole, 0.0).otherwise(F.col("tokens") * F.col("ratio"))), F.count(F.when(~whole, True))).first()
         if not steps or not rest:
             return c
         wanted = (kept_share * total - kept) / rest
@@ -129,8 +144,8 @@ def _chance(id_col: str, text_col: str, seed: int) -> Column:
 def _calibrated(rows: DataFrame, targets: dict[str, DataFrame] | None, kept_share: float) -> DataFrame:
     """``source, lang, topic, probability`` of the cells of ``rows``."""
     cells = materialize(rows.groupBy(MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets).select(*MARGINS, "tokens", (F.col("weight") / F.col("tokens")).alias("ratio"))
-    return raked.select(*MARGINS, F.least(F.col("ratio") * F.lit(scale(raked, kept_share)), F.lit(1.0)).alias("probability"))
+    ratios = rake(cells, targets).select(*MARGINS, "tokens", (F.col("weight") / F.col("tokens")).alias("ratio"))
+    return ratios.select(*MARGINS, F.least(F.col("ratio") * F.lit(scale(ratios, kept_share)), F.lit(1.0)).alias("probability"))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", kept_share: float = KEPT_SHARE) -> DataFrame:

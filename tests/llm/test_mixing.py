@@ -23,3 +23,14 @@ def test_scale_keeps_the_wanted_share(spark, share):
     kept = sum(n * min(1.0, c * r) for n, r in cells)
     assert kept >= share * 100 - 1e-6
     assert c * 8.0 == pytest.approx(1.0) or kept == pytest.approx(share * 100)
+
+
+def test_contradictory_margins_are_reported(spark):
+    cells = [("german", "de", "prose", 100)] + [(f"s{i}", "en", "prose", 100) for i in range(19)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    out, off = mixing.raked(df)
+    assert out.count() == 20 and off["topic"] < 1e-6 and max(off.values()) > 0.1
+    with pytest.warns(UserWarning, match="margins differ"):
+        mixing.rake(df)
+    fine, off = mixing.raked(spark.createDataFrame([(s, x, "prose", 10) for s in "ab" for x in ("en", "de")], df.schema))
+    assert fine.count() == 4 and max(off.values()) <= mixing.TOLERANCE
