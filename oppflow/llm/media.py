@@ -19,6 +19,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from zlib import crc32
 
@@ -246,9 +247,14 @@ def thumbnail(info: dict, coef: np.ndarray) -> np.ndarray:
 
 
 def thumbnail_hash(dc: np.ndarray) -> str:
-    """16 hex digits: which of 8 x 8 points of the thumbnail are above their mean."""
-    points = dc[np.ix_(np.arange(8) * dc.shape[0] // 8, np.arange(8) * dc.shape[1] // 8)]
-    return np.packbits(points * 64 > points.sum(dtype=np.int64)).tobytes().hex()
+    """16 hex digits: which of 8 x 8 areas of the thumbnail are on average above the mean of the areas."""
+    edges = [np.arange(9) * n // 8 for n in dc.shape]
+    sums = np.add.reduceat(np.add.reduceat(dc.astype(np.int64), edges[0][:8], axis=0), edges[1][:8], axis=1)  # an empty area is the point at its edge
+    sizes = [np.maximum(np.diff(e), 1) for e in edges]
+    # averages over a common denominator, in whole numbers of any size
+    high, wide = ([math.lcm(*n.tolist()) // x for x in n.tolist()] for n in sizes)
+    areas = sums.astype(object) * np.outer(np.array(high, object), np.array(wide, object))
+    return np.packbits((areas * 64 > areas.sum()).astype(bool)).tobytes().hex()
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
