@@ -6,7 +6,8 @@ and the corpus says how many repositories and owners hold it: a value that many
 owners hold is a copied example, one that a single owner holds and that looks
 drawn at random is reported as live. The counts are combined in steps (value,
 owner and repository; value and owner; value), each within tasks first, so a
-value that a third of all rows hold needs no large group.
+value that a third of all rows hold needs no large group; the counts return to
+the rows by a join in which such a value is salted.
 
 Kinds: ``assign``, ``access`` and ``hex`` are the base ones; ``issued`` adds
 tokens with an issuer's prefix, signed web tokens and private-key headers.
@@ -25,15 +26,20 @@ from pyspark.sql import functions as F
 from oppflow.shared import materialize
 
 #: (kind, pattern, group of the value, least characters of the value). Runs that are too short are no matches of hex and access at all.
+#: Only single characters and character classes are repeated, and a long run is entered at its start alone, so a text that almost
+#: matches costs neither stack nor quadratic time.
 KINDS = [
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("issued", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("issued", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 ]
 BASE = 3
 #: A value that at least so many owners hold is an example that they copied.
 EXAMPLE_OWNERS = 3
+#: Rows of one value, at least, from which on its join is dealt over several tasks. At most ``MOST_HOT`` values can hold so large a
+#: share of the rows, so their table is small.
+HOT_ROWS, MOST_HOT = 50_000, 10_000
 
 
 def _matches(text: Column, kind: int) -> Column:
@@ -73,10 +79,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """For each value hash: the numbers of distinct repositories and owners that hold it."""
-    held = found.select("hash", "owner", "repo").distinct()
-    by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    """For each value hash: the numbers of distinct repositories and owners that hold it, and of its rows."""
+    held = found.groupBy("hash", "owner", "repo").agg(F.count("*").alias("rows"))
+    by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("rows").alias("rows"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("rows").alias("rows"))
+
+
+def with_ownership(found: DataFrame) -> DataFrame:
+    """``found`` with ``owners`` and ``repos`` of its value; rows of a hot value are dealt by their row id."""
+    counts = materialize(ownership(found), "owners")
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    most = max(HOT_ROWS, total / MOST_HOT)
+    hot = F.broadcast(counts.filter(F.col("rows") > most).select("hash", F.ceil(F.col("rows") / most).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = found.join(hot, "hash", "left").withColumn("part", F.pmod(F.xxhash64("row_id"), parts).cast("int")).drop("parts")
+    each = counts.join(hot, "hash", "left").select("hash", "owners", "repos", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(each, ["hash", "part"]).drop("part")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
@@ -87,7 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     rows, found = candidates(docs, id_col, text_col, repo_col, owner_col)
     found = materialize(found, "candidates")
     verdict = F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & F.col("live_looking"), "live").otherwise("unclear")
-    judged = found.join(ownership(found), "hash").select("row_id", F.struct("start", "kind", "end", "owners", "repos", verdict.alias("verdict")).alias("s"))
+    judged = with_ownership(found).select("row_id", F.struct("start", "kind", "end", "owners", "repos", verdict.alias("verdict")).alias("s"))
     listed = judged.groupBy("row_id").agg(F.array_sort(F.collect_list("s")).alias("secrets"))
     return rows.join(listed, "row_id", "left").select("id", F.coalesce("secrets", F.array().cast(listed.schema["secrets"].dataType)).alias("secrets"))
 
