@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from oppflow.operators.joins import hot_keys
 from oppflow.shared import materialize
 
 #: Edges that a task contracts at a time before the first shuffle.
 _LOCAL = 500_000
+#: Edges of one node, at least, from which on they stay where they are and the node's row is sent to them.
+HOT_EDGES = 256
 
 
 class Forest:
     """Union-find whose roots are the smallest members."""
 
     def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x):
         up, root = self.up, x
         while (p := up.get(root, root)) != root:
             root = p
@@ -28,7 +32,7 @@ class Forest:
             x = p
         return root
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a, b) -> bool:
         """Whether the two were apart."""
         a, b = self.find(a), self.find(b)
         if a == b:
@@ -40,47 +44,65 @@ class Forest:
         return True
 
 
-def _contract(batches):
+def _contract(kind: pa.DataType):
     """Each run of edges as stars around its smallest members: same components, fewer and flatter edges."""
-    forest, n = Forest(), 0
-
-    def stars():
-        members = list(forest.up)
-        roots = [forest.find(x) for x in members]
-        u, v = np.array(members, np.int64), np.array(roots, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            forest.join(u, v)
-        n += b.num_rows
-        if n >= _LOCAL:
+
+    def run(batches):
+        forest, n = Forest(), 0
+
+        def stars():
+            pairs = [(x, r) for x in forest.up if (r := forest.find(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], ["u", "v"])
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                forest.join(u, v)
+            n += b.num_rows
+            if n >= _LOCAL:
+                yield stars()
+                forest, n = Forest(), 0
+        if n:
             yield stars()
-            forest, n = Forest(), 0
-    if n:
-        yield stars()
+
+    return run
+
+
+def _with_least(edges: DataFrame, least: DataFrame, key: str, total: int) -> DataFrame:
+    """``edges`` with ``m``: what ``least`` (node, m) says about the node in ``key``, or null.
+
+    A node with very many edges would be one task's work: its row is broadcast
+    to them instead. There are few such nodes, however large the graph.
+    """
+    rows = least.withColumnRenamed("node", key)
+    hot = hot_keys(edges, key, total, HOT_EDGES)
+    if hot is None:
+        return edges.join(rows, key, "left")
+    mark = F.broadcast(hot.select(key, F.lit(True).alias("hot")))
+    marked = edges.join(mark, key, "left")
+    few = F.broadcast(mark.join(rows, key).select(key, "m"))
+    return marked.filter("hot").drop("hot").join(few, key, "left").unionByName(marked.filter("hot IS NULL").drop("hot").join(rows, key, "left"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``u, root`` for every node of ``edges`` (long ``u, v``) but the roots themselves; root is the least node of its component.
+    """``u, root`` for every node of ``edges`` (``u, v`` of one type that sorts) but the roots themselves; root is the least node of its component.
 
     The number of rounds grows with the logarithm of the longest chain; each
     round is written to the shared folder.
     """
-    schema = "u long, v long"
-
-    def mins(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-
-    now, before = materialize(edges.select("u", "v").mapInArrow(_contract, schema).distinct(), "edges"), None
+    kind = edges.schema["u"].dataType
+    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    least = lambda e: e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    # every edge leads from the larger node to the smaller one
+    now, before = materialize(edges.select("u", "v").mapInArrow(_contract(to_arrow_type(kind)), schema).distinct(), "edges"), None
+    total = now.count()
     while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(mins(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-        least = mins(down)
-        small = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
+        # large star: the larger node is linked to the least neighbour of the smaller one
+        down = _with_least(now, least(now), "v", total).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # small star: all smaller neighbours of a node are linked to their least one
+        small = _with_least(down, least(down), "u", total)
+        both = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = materialize(small.select(F.explode(both).alias("e")).select("e.*").filter("u <> v").distinct(), "edges")
+        total, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (total, mark) == before:
             return now.select("u", F.col("v").alias("root"))
-        before = state
+        before = (total, mark)

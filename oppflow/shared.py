@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where none is (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
+    """The folder of ``spark.checkpoint.dir``, or of the context; a local session without one gets a temporary folder (tests).
+
+    On a cluster it must be named: executors don't see the driver's own folders.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="oppflow-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
