@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 MOST_HOT = 10_000
 
 
-def hot_keys(df: DataFrame, key: str, total: int, least: int) -> DataFrame | None:
+def hot_keys(df: DataFrame, key: str, total: int, least: int, counts: DataFrame | None = None) -> DataFrame | None:
     """``key, parts`` of the keys with more than ``least`` of the ``total`` rows of ``df``, or None where there can be none.
 
-    A key's parts are its rows over that number. At most ``MOST_HOT`` rows.
+    A key's parts are its rows over that number. At most ``MOST_HOT`` rows. ``counts``: ``key, n`` where they are known.
     """
     if total <= least:
         return None
     most = max(least, total / MOST_HOT)
-    return df.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > most) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    counts = df.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    return counts.filter((F.col("n") > most) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, total: int, least: int = 50_000) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, total: int, least: int = 50_000, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` (a row for each key); a key's rows in ``left`` (``total`` in all) are dealt by ``spread`` if they are many."""
-    hot = hot_keys(left, key, total, least)
+    hot = hot_keys(left, key, total, least, counts)
     if hot is None:
         return left.join(right, key)
     hot, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))
