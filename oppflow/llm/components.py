@@ -1,86 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components, as the rest of the library has them."""
 
-from __future__ import annotations
+from oppflow.operators.graph import Forest, components
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from oppflow.shared import materialize
-
-#: Edges that a task contracts at a time before the first shuffle.
-_LOCAL = 500_000
-
-
-class Forest:
-    """Union-find whose roots are the smallest members."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up, root = self.up, x
-        while (p := up.get(root, root)) != root:
-            root = p
-        while (p := up.get(x, x)) != root:
-            up[x] = root
-            x = p
-        return root
-
-    def join(self, a: int, b: int) -> bool:
-        """Whether the two were apart."""
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        if a > b:
-            a, b = b, a
-        self.up[b] = a
-        self.up.setdefault(a, a)
-        return True
-
-
-def _contract(batches):
-    """Each run of edges as stars around its smallest members: same components, fewer and flatter edges."""
-    forest, n = Forest(), 0
-
-    def stars():
-        members = list(forest.up)
-        roots = [forest.find(x) for x in members]
-        u, v = np.array(members, np.int64), np.array(roots, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            forest.join(u, v)
-        n += b.num_rows
-        if n >= _LOCAL:
-            yield stars()
-            forest, n = Forest(), 0
-    if n:
-        yield stars()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``u, root`` for every node of ``edges`` (long ``u, v``) but the roots themselves; root is the least node of its component.
-
-    The number of rounds grows with the logarithm of the longest chain; each
-    round is written to the shared folder.
-    """
-    schema = "u long, v long"
-
-    def mins(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-
-    now, before = materialize(edges.select("u", "v").mapInArrow(_contract, schema).distinct(), "edges"), None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(mins(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-        least = mins(down)
-        small = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            return now.select("u", F.col("v").alias("root"))
-        before = state
+__all__ = ["Forest", "components"]

@@ -176,6 +176,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The row with the smallest id of each component, with all its columns."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, radius).filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(materialize(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    """The row with the smallest id (null sorts last) of each component, with all its columns; equal rows stay or go together."""
+    text = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), text(F.col(text_col)).alias("h"))
+    judged = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle, radius)
+    gone = materialize(judged.filter(F.col("id") != F.col("component_id")).select(F.col("id.id").alias("_gone"), F.col("id.h").alias("_h")).distinct(), "gone")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (text(docs[text_col]) == gone["_h"]), "left_anti")
