@@ -5,7 +5,8 @@ its words (runs of lower case, upper case and digits; marks as they are) and
 pairs of shapes, hashed into 2^18 places; a feature's value is its share of the
 text's features. Training takes a bounded sample of labelled rows in shards:
 each shard runs its own updates and the shards' weights are averaged. Scoring
-is a sparse dot product with a weight vector of fixed size.
+is a sparse dot product with a weight vector of fixed size. Labels other than 0
+and 1 are skipped.
 
 Defined results: null and wordless texts have no features but the bias and get
 its score; a text with several labels is learned from with each; null labels
@@ -106,7 +107,7 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights from about ``rows`` rows of ``labels`` for which ``train`` (over the id) holds."""
-    known = labels.filter(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    known = labels.filter(train & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     share = min(1.0, rows / max(known.count(), 1))
     chosen = known.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < int(share * 1_000_003)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     # the sample's size is a parameter, so its ids may be broadcast
@@ -123,11 +124,13 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
                 examples.append((np.append(some, 1 << BITS), np.append(c / max(e - s, 1), 1.0), y))
         w = _ftrl(examples)
         some = np.flatnonzero(w)
-        return pa.table({"at": pa.array(some.astype(np.int32)), "w": pa.array(w[some])})
+        # place -1 counts the shards that had rows
+        return pa.table({"at": pa.array(np.append(some, -1).astype(np.int32)), "w": pa.array(np.append(w[some], 1.0))})
 
-    got = sample.groupBy("shard").applyInArrow(train_shard, "at int, w double").groupBy("at").agg((F.sum("w") / SHARDS).alias("w")).toArrow()
+    got = sample.groupBy("shard").applyInArrow(train_shard, "at int, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow()
+    at, total = got["at"].to_numpy(), got["w"].to_numpy()
     w = np.zeros((1 << BITS) + 1, np.float32)
-    w[got["at"].to_numpy()] = got["w"].to_numpy()
+    w[at[at >= 0]] = total[at >= 0] / max(total[at < 0].sum(), 1.0)
     return w
 
 
