@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from oppflow.llm.arrowtext import buffers, lists, pieces, release
 
-#: About so many labelled rows are learned from (chosen by a hash of their ids).
+#: About so many labelled rows are learned from (chosen by a hash of their ids, or texts where there is no id).
 TRAIN_ROWS = 8000
 #: What a change of language costs, in nats.
 SWITCH = 6.0
@@ -81,9 +81,9 @@ def _words(texts: pa.Array):
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> dict:
     """The model from about ``rows`` rows of ``docs`` for which ``train`` holds and text and language are not null."""
     labelled = docs.filter(train & F.col(lang_col).isNotNull())
-    n = labelled.filter(F.col(id_col).isNotNull()).count()
-    share = min(1.0, rows / max(n, 1))
-    chosen = labelled.filter((F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < int(share * 1_000_003)) & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    share = min(1.0, rows / max(labelled.count(), 1))
+    by = F.coalesce(F.col(id_col).cast("string"), F.col(text_col))
+    chosen = labelled.filter((F.pmod(F.xxhash64(by), F.lit(1_000_003)) < int(share * 1_000_003)) & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
