@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oppflow.operators.joins import salted_join
 from oppflow.shared import materialize
 
 #: (kind, pattern, group of the value, least characters of the value). Runs that are too short are no matches of hex and access at all.
@@ -37,9 +38,8 @@ KINDS = [
 BASE = 3
 #: A value that at least so many owners hold is an example that they copied.
 EXAMPLE_OWNERS = 3
-#: Rows of one value, at least, from which on its join is dealt over several tasks. At most ``MOST_HOT`` values can hold so large a
-#: share of the rows, so their table is small.
-HOT_ROWS, MOST_HOT = 50_000, 10_000
+#: Rows of one value, at least, from which on its join is dealt over several tasks.
+HOT_ROWS = 50_000
 
 
 def _matches(text: Column, kind: int) -> Column:
@@ -89,12 +89,7 @@ def with_ownership(found: DataFrame) -> DataFrame:
     """``found`` with ``owners`` and ``repos`` of its value; rows of a hot value are dealt by their row id."""
     counts = materialize(ownership(found), "owners")
     total = counts.agg(F.sum("rows")).first()[0] or 0
-    most = max(HOT_ROWS, total / MOST_HOT)
-    hot = F.broadcast(counts.filter(F.col("rows") > most).select("hash", F.ceil(F.col("rows") / most).cast("int").alias("parts")))
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = found.join(hot, "hash", "left").withColumn("part", F.pmod(F.xxhash64("row_id"), parts).cast("int")).drop("parts")
-    each = counts.join(hot, "hash", "left").select("hash", "owners", "repos", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    return dealt.join(each, ["hash", "part"]).drop("part")
+    return salted_join(found, counts.select("hash", "owners", "repos"), "hash", F.col("row_id"), total, HOT_ROWS)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
