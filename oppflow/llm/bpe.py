@@ -1,10 +1,15 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Words are split inside Spark tasks; every chunk of documents sends only its
-distinct words, hash-bucketed, to the encoding stage, where each distinct word
-of the corpus is encoded once; the ids come back to the chunk and are joined to
-the documents by position. Nothing is broadcast but the tokenizer file, whose
-size is fixed, and no stage holds more than one chunk or one bucket of words.
+distinct words, hash-bucketed, to the encoding stage. A bucket's words pass in
+slices of ``SLICE_BYTES``: a word that its slice or the worker's bounded table
+of words already knows is not encoded again. The ids come back to the chunk and
+are joined to the documents by position. Nothing is broadcast but the tokenizer
+file, whose size is fixed, and no stage holds more than one chunk or one slice.
+
+The words and the positions of a chunk are two reads of the same rows, so these
+must come in the same order each time: a source that is not a table of files is
+written once first.
 
 Decoding joins ids to the pieces of the vocabulary (a fixed-size table).
 
@@ -26,11 +31,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oppflow.llm.arrowtext import buffers, joined, lists, ragged, release, string_view, units
+from oppflow.shared import materialize
 
 #: Bytes of text whose words share one word list.
 CHUNK_BYTES = 10 << 20
 #: Words in one call of the tokenizer.
 _CALL = 2000
+#: Buckets of words; their number only says how finely the work can be dealt.
+BUCKETS = 128
+#: Bytes of words encoded at a time.
+SLICE_BYTES = 16 << 20
+#: Words that each half of a worker process's table keeps the ids of, and their greatest length.
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+_cache: dict[tuple[str, str], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def public_path(name: str) -> str:
@@ -64,6 +77,33 @@ def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), count
 
 
+def known(path: str, words: list[str], encode=encode_words, size: int = CACHE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``encode`` for different words, through the worker's bounded table.
+
+    The table has a young and an old half; words that are met again are young.
+    """
+    young, old = _cache.setdefault((path, encode.__name__), ({}, {}))
+    if len(young) + len(words) > size:
+        young, old = _cache[path, encode.__name__] = ({}, young)
+    new, long = [], {}
+    for w in words:
+        if w not in young:
+            if (got := old.get(w)) is not None:
+                young[w] = got
+            else:
+                new.append(w)
+    if new:
+        flat, lens = encode(path, new)
+        body, ends, start = flat.astype("<u4").tobytes(), np.cumsum(lens) * 4, 0
+        for w, e in zip(new, ends.tolist(), strict=True):
+            (young if len(w) <= CACHE_LENGTH else long)[w] = body[start:e]
+            start = e
+    ids = [x if (x := young.get(w)) is not None else long[w] for w in words]
+    if len(young) > 2 * size:  # one call brought more than the table may keep
+        _cache[path, encode.__name__] = ({}, {})
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
 def _pack(x: np.ndarray) -> bytes:
     """An array's bytes, compressed, after their number."""
     raw = np.ascontiguousarray(x).tobytes()
@@ -95,18 +135,21 @@ def _chunk(batch: pa.RecordBatch) -> tuple[int, pa.Array, np.ndarray, np.ndarray
     return h.intdigest() - (1 << 63), listed, rank[at], count
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``id_col`` and ``ids array<int>`` of every row of ``docs``, as the tokenizer at ``path`` encodes whole texts."""
-    spark = docs.sparkSession
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, chunk_bytes: int = CHUNK_BYTES, of_files: bool = False) -> DataFrame:
+    """``id_col`` and ``ids array<int>`` of every row of ``docs``, as the tokenizer at ``path`` encodes whole texts.
+
+    ``of_files``: ``docs`` is a table of files, whose rows come in the same order whenever a task reads them.
+    """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not of_files:
+        src = materialize(src, "texts")
     id_type = src.schema["id"].dataType
 
     def split_words(batches):
         for b in joined(batches, chunk_bytes):
             name, listed, _, _ = _chunk(b)
             raw = listed.cast(pa.binary())
-            to = np.fromiter(map(crc32, raw.to_pylist()), np.int64, len(raw)) % n_buckets
+            to = np.fromiter(map(crc32, raw.to_pylist()), np.int64, len(raw)) % buckets
             order = np.argsort(to, kind="stable")  # a bucket's words stay in the list's order
             some, start = np.unique(to[order], return_index=True)
             offsets, body = buffers(raw.take(pa.array(order)))
@@ -116,22 +159,40 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             del listed, raw, order, offsets, body, rows
             release()
 
-    def encode_bucket(t: pa.Table) -> pa.Table:
-        release()
-        sizes = _column(t["sizes"].to_pylist(), "<u4")
-        body = np.concatenate(_column(t["words"].to_pylist(), np.uint8))
+    def encode_slice(rows: list[tuple]) -> pa.RecordBatch:
+        name, packed, size, places = zip(*rows, strict=True)
+        sizes = _column(size, "<u4")
+        body = np.concatenate(_column(packed, np.uint8))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
         coded = string_view(offsets, body).dictionary_encode()
-        flat, lens = encode_words(path, coded.dictionary.to_pylist())
+        flat, lens = known(path, coded.dictionary.to_pylist())
         ids, n = ragged(lens, coded.indices.to_numpy(zero_copy_only=False), flat.astype("<u4"))
         cut = np.cumsum([0, *map(len, sizes)])
         at = np.concatenate([[0], np.cumsum(n)])[cut]
-        return pa.table({
-            "chunk": t["chunk"],
-            "places": t["places"],
-            "lens": pa.array([_pack(n[s:e].astype("<u4")) for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-            "ids": pa.array([_pack(ids[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-        })
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(name, pa.int64()),
+                pa.array(places, pa.binary()),
+                pa.array([_pack(n[s:e].astype("<u4")) for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                pa.array([_pack(ids[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+            ],
+            ["chunk", "places", "lens", "ids"],
+        )
+
+    def encode_bucket(batches):
+        rows, size = [], 0
+        for b in batches:
+            for row in zip(*[b[c] for c in ("chunk", "words", "sizes", "places")], strict=True):
+                row = tuple(x.as_py() for x in row)
+                rows.append(row)
+                size += int.from_bytes(row[1][:8], "little")
+                if size >= SLICE_BYTES:
+                    yield encode_slice(rows)
+                    rows, size = [], 0
+                    release()
+        if rows:
+            yield encode_slice(rows)
+        release()
 
     def positions(batches):
         for b in joined(batches, chunk_bytes):
@@ -162,7 +223,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ints = T.ArrayType(T.IntegerType())
     words = src.mapInArrow(split_words, "bucket int, chunk long, words binary, sizes binary, places binary")
-    table = words.groupBy("bucket").applyInArrow(encode_bucket, "chunk long, places binary, lens binary, ids binary")
+    table = words.repartition("bucket").mapInArrow(encode_bucket, "chunk long, places binary, lens binary, ids binary")
     at = src.mapInArrow(positions, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("id", T.ArrayType(id_type)), T.StructField("count", ints), T.StructField("at", T.BinaryType())]))
     out = at.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(join_back, T.StructType([T.StructField("id", id_type), T.StructField("ids", ints)]))
     return out.withColumnRenamed("id", id_col)
@@ -205,8 +266,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    """Rows of the query: token count, hash of the ids, hash of the decoded text."""
-    both = decode(encode(docs, path), path)
+    """Rows of the query over a table of files: token count, hash of the ids, hash of the decoded text."""
+    both = decode(encode(docs, path, of_files=True), path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

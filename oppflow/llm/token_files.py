@@ -13,15 +13,18 @@ row per shard; then the index files are written. Files are written under another
 name and renamed, and hold the same bytes however often a task runs, so lost
 executors and repeated tasks do no harm. Reading maps a file into memory.
 
-Defined results: a null text is an empty one (only the end id); rows with a null
-document id come first; rows with equal ids are ordered by text; an empty table
-gives no shards; other columns are ignored.
+Document ids are whole numbers, as the index holds them as 64-bit values; others
+are refused. Defined results: a null text is an empty one (only the end id);
+rows with a null document id come first; rows with equal ids are ordered by
+text; an empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -30,16 +33,16 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oppflow.llm.arrowtext import joined, lists, ragged, release, units
-from oppflow.llm.bpe import encode_words, tokenizer
+from oppflow.llm.bpe import encode_words, known, tokenizer
 from oppflow.shared import new_path
 
 #: Words that each half of a worker process's table keeps the ids of.
 CACHE_WORDS = 450_000
 #: Bytes of text encoded at a time.
 PIECE_BYTES = 8 << 20
-_cache: dict[tuple[str, str], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 #: What a unit must not hold to be plain: letters beyond ASCII and composed Latin ones, and special tokens. The pieces of plain
 #: units, in lower case, do not depend on what stands beside them; a line end ends a unit.
 _ODD = "[^\\x00-\\x7FÀ-ÖØ-öø-ÿ]|<\\|"
@@ -51,8 +54,8 @@ def _store(where: str) -> tuple[fs.FileSystem, str]:
     return store, path
 
 
-def _write(where: str, name: str, parts: list) -> None:
-    """Write bytes under a name of this attempt's own, then move them to ``name``."""
+def _write(where: str, name: str, parts: Iterable[bytes]) -> None:
+    """Write bytes, as they come, under a name of this attempt's own, then move them to ``name``."""
     import uuid
 
     store, path = _store(where)
@@ -83,35 +86,6 @@ def _ends(path: str) -> np.ndarray:
     return out
 
 
-def _known(path: str, words: list[str], encode) -> list[bytes]:
-    """Ids of each word as bytes of uint32, from the worker's bounded table or the tokenizer.
-
-    The table has a young and an old half; words that are met again are young.
-    """
-    young, old = _cache.setdefault((path, encode.__name__), ({}, {}))
-    if len(young) + len(words) > CACHE_WORDS:
-        young, old = _cache[path, encode.__name__] = ({}, young)
-    new = []
-    for w in words:
-        if w not in young:
-            if (got := old.get(w)) is not None:
-                young[w] = got
-            else:
-                new.append(w)
-    if new:
-        flat, lens = encode(path, new)
-        body, ends, start = flat.astype("<u4").tobytes(), np.cumsum(lens) * 4, 0
-        for w, e in zip(new, ends.tolist(), strict=True):
-            young[w] = body[start:e]
-            start = e
-    return [young[w] for w in words]
-
-
-def _runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a list of words, and how many each has."""
-    return np.frombuffer(b"".join(words), "<u4"), np.fromiter(map(len, words), np.int64, len(words)) // 4
-
-
 def _plain_ids(path: str, units_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of units whose pieces do not depend on each other, through the distinct pieces of all of them."""
     if not len(units_):
@@ -120,7 +94,7 @@ def _plain_ids(path: str, units_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     listed = piece.dictionary.to_pylist()
     at = piece.indices.to_numpy(zero_copy_only=False)
     end = listed.index("\n")
-    flat, lens = _runs(_known(path, [w for w in listed if w != "\n"], _encode_plain))
+    flat, lens = known(path, [w for w in listed if w != "\n"], _encode_plain, CACHE_WORDS)
     lens = np.insert(lens, end, 0)
     ids, n = ragged(lens, at, flat)
     return ids, np.diff(np.cumsum(n)[at == end], prepend=0)
@@ -141,7 +115,7 @@ def encode_texts(path: str, texts: pa.Array, lower: bool) -> tuple[np.ndarray, n
     else:
         odd = np.ones(len(distinct), bool)
     plain, plain_n = _plain_ids(path, distinct.filter(pa.array(~odd)))
-    rest, rest_n = _runs(_known(path, distinct.filter(pa.array(odd)).to_pylist(), encode_words))
+    rest, rest_n = known(path, distinct.filter(pa.array(odd)).to_pylist(), encode_words, CACHE_WORDS)
     lens = np.zeros(len(distinct), np.int64)
     start = np.zeros(len(distinct), np.int64)
     for mine, n, base in ((~odd, plain_n, 0), (odd, rest_n, len(plain))):
@@ -160,6 +134,8 @@ def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, id_co
     Shards are ranges of about equally many rows, from quantiles of the id column alone.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"document ids must be whole numbers, and {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     where = out or new_path(spark, "tokens")
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -176,18 +152,22 @@ def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, id_co
         t = tokenizer(path)
         wide = max(t.get_vocab_size(with_added_tokens=True) - 1, end_id) >= 1 << 16
         lower = '"Lowercase"' in t.to_str()[:4000] if t.normalizer is not None else False
-        kind, held, doc, no_id, lens, at = "<u4" if wide else "<u2", [], [], [], [], None
-        for b in joined(batches, PIECE_BYTES):
-            at = b.column(2)[0].as_py()
-            got, count = encode_texts(path, b.column(1), lower)
-            ends = np.cumsum(count)
-            held.append(np.insert(got, ends, end_id).astype(kind).tobytes())
-            lens.append(count + 1)
-            doc.append(pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False))
-            no_id.append(pc.is_null(b.column(0)).to_numpy(zero_copy_only=False))
-            release()
-        if at is not None:
-            _write(where, f"shard-{at:05d}.bin", held)
+        kind, doc, no_id, lens = "<u4" if wide else "<u2", [], [], []
+
+        def encoded(parts):
+            for b in parts:
+                got, count = encode_texts(path, b.column(1), lower)
+                yield np.insert(got, np.cumsum(count), end_id).astype(kind).tobytes()
+                lens.append(count + 1)
+                doc.append(pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False))
+                no_id.append(pc.is_null(b.column(0)).to_numpy(zero_copy_only=False))
+                release()
+
+        parts = joined(batches, PIECE_BYTES)
+        first = next(parts, None)
+        if first is not None:  # a task holds one shard, and of its ids one piece at a time
+            at = first.column(2)[0].as_py()
+            _write(where, f"shard-{at:05d}.bin", encoded(chain([first], parts)))
             offs = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype("<i8")
             ids_, nulls = np.concatenate(doc).astype("<i8"), np.concatenate(no_id)
             _write(where, f"shard-{at:05d}.part", [np.array([len(ids_), np.dtype(kind).itemsize], "<i8").tobytes(), ids_.tobytes(), offs.tobytes(), nulls.astype(np.uint8).tobytes()])
