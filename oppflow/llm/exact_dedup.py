@@ -78,4 +78,4 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     gone = groups(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text").filter(F.col("id") != F.col("keep_id")).select(F.col("id.id").alias("_gone"), F.col("id.h").alias("_h")).distinct()
     gone = materialize(gone, "gone")  # its size is known now: a small one is broadcast, and the texts stay where they are
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_h")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["_h"]), "left_anti")

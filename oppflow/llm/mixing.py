@@ -164,6 +164,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: st
     """The sampled rows of ``docs``, with all their columns; each row is judged by itself."""
     cells = _calibrated(documents_in_cells(docs, id_col=id_col), targets, KEPT_SHARE).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("probability").alias("_probability"))
     cell = _cell(None, "text", "source", "lang")
-    placed = docs.withColumns({f"_{m}": cell[m] for m in MARGINS} | {"_chance": _chance(id_col, "text", 42)})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of the input can clash
+    placed = docs.select(row, *[cell[m].alias(f"_{m}") for m in MARGINS], _chance(id_col, "text", 42).alias("_chance"))
     out = placed.join(cells, [f"_{m}" for m in MARGINS], "left").filter(F.col("_chance") < F.coalesce("_probability", F.lit(1.0)))
-    return out.select([f"`{c}`" for c in docs.columns])
+    return out.select("row.*")
