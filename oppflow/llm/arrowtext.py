@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: The white space of the contracts: [\x20\x09-\x0D].
 _SPACE = np.zeros(256, bool)
@@ -17,6 +18,15 @@ _MAYBE_SPACE_END = np.zeros(256, bool)
 _MAYBE_SPACE_END[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
 
 
+#: Bytes of an Arrow batch of texts, about.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in batches of about ``BATCH_BYTES``: each batch stands in memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def release() -> None:
     """Give freed memory back to the system; worker processes live on after a stage and share an executor's memory with the next."""
     pa.default_memory_pool().release_unused()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import buffers, joined, lists, ragged, release, string_view, units
+from oppflow.llm.arrowtext import buffers, joined, lists, ragged, release, small_batches, string_view, units
 from oppflow.shared import materialize
 
 #: Bytes of text whose words share one word list.
@@ -40,9 +40,9 @@ _CALL = 2000
 #: Buckets of words; their number only says how finely the work can be dealt.
 BUCKETS = 128
 #: Bytes of words encoded at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Words that each half of a worker process's table keeps the ids of, and their greatest length.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+CACHE_WORDS, CACHE_LENGTH = 100_000, 64
 _cache: dict[tuple[str, str], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
@@ -140,6 +140,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ``of_files``: ``docs`` is a table of files, whose rows come in the same order whenever a task reads them.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not of_files:
         src = materialize(src, "texts")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import buffers, lists, pieces, release
+from oppflow.llm.arrowtext import buffers, lists, pieces, release, small_batches
 
 #: About so many labelled rows are learned from (chosen by a hash of their ids, or texts where there is no id).
 TRAIN_ROWS = 8000
@@ -80,6 +80,7 @@ def _words(texts: pa.Array):
 
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> dict:
     """The model from about ``rows`` rows of ``docs`` for which ``train`` holds and text and language are not null."""
+    small_batches(docs.sparkSession)
     labelled = docs.filter(train & F.col(lang_col).isNotNull())
     share = min(1.0, rows / max(labelled.count(), 1))
     by = F.coalesce(F.col(id_col).cast("string"), F.col(text_col))

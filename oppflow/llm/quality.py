@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import pieces, words
+from oppflow.llm.arrowtext import pieces, small_batches, words
 from oppflow.llm.langid import held_out
 
 #: About so many labelled rows are learned from (chosen by a hash of their ids).
@@ -136,6 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` of every row."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB, whatever the corpus
 

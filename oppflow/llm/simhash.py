@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import pieces, release, words
+from oppflow.llm.arrowtext import pieces, release, small_batches, words
 from oppflow.llm.components import Forest, components
 from oppflow.shared import materialize
 
@@ -64,6 +64,7 @@ def _fingerprints(texts: pa.Array, size: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``id, fp long`` (the 64 bits) for every row."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from oppflow.llm.arrowtext import _SPACE, pieces, release, string_view, word_column, words
+from oppflow.llm.arrowtext import _SPACE, pieces, release, small_batches, string_view, word_column, words
 from oppflow.shared import freeing_shuffles, materialize
 
 WINDOW = 20
@@ -410,6 +410,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     """``id, n_words, n_removed, kept_text`` of every row, but with the SHA-256 of the kept text: ``kept_sha256``."""
     if not SEED_WORDS <= window <= SEED_WORDS + 30:
         raise ValueError(f"a window has {SEED_WORDS} to {SEED_WORDS + 30} words")
+    small_batches(docs.sparkSession)
     src = ordered(docs, id_col, text_col)
     shared = shared_seeds(src, window)
 

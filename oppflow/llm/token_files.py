@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oppflow.llm.arrowtext import joined, lists, ragged, release, units
+from oppflow.llm.arrowtext import joined, lists, ragged, release, small_batches, units
 from oppflow.llm.bpe import encode_words, known, tokenizer
 from oppflow.shared import new_path
 
@@ -133,6 +133,7 @@ def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, id_co
 
     Shards are ranges of about equally many rows, from quantiles of the id column alone.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise ValueError(f"document ids must be whole numbers, and {id_col} is {docs.schema[id_col].dataType.simpleString()}")
