@@ -95,3 +95,18 @@ AMOUNTS = [
 ]
 MONTHS_ES = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
 MONTHS_EN = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+# fixed values: names of regions, nearest first (mark-free), and phrases on organisations and partners
+CENTRAL = ["central america", "mesoamerica", "centroamerica", "america central"]
+LATIN = ["latin america", "lac", "caribbean", "america latina", "latinoamerica", "el caribe"]
+WORLD = ["global", "worldwide", "international", "developing", "oda", "lmic"]
+ORG_NORTHERN = r"\bingo\s+lead|\bnorthern\s+(ngo|partner)|us[-\s]based\s+org|501\(c\)|us\s+nonprofit"
+ORG_YOUTH = r"youth[-\s]led|youth[-\s]run|liderada[s]?\s+por\s+j[oó]venes|organizaci[oó]n\s+juvenil"
+ORG_LOCAL = r"local\s+(ngo|org|civil)|national\s+(ngo|org)|community[-\s]based|cso|organizaci[oó]n\s+local|sociedad\s+civil|ong\s+local"
+ORG_SOUTHERN = r"southern\s+(ngo|org|partner)|global\s+south|pa[ií]ses\s+en\s+desarrollo"
+PARTNER_LEADS = "lead partner|consortium lead|northern partner|northern ngo"
+PARTNER_NEEDED = "partnership required|must partner"
+PARTNER_OPTIONAL = "partnership optional|can partner|may partner"
+# words without which none of DEADLINES, or of AMOUNTS, can match
+DEADLINE_SIGNS = r"deadline|close|due|apply|submit|open|fecha|cierr|vencimiento|convocatoria|\d{4}-\d{2}-\d{2}|\d/\d{4}"
+AMOUNT_SIGNS = r"\$|USD|EUR|up\s+to|grant|award|hasta|m[aá]ximo|prize"

@@ -9,6 +9,7 @@ from oppflow.functions import keys
 from oppflow.operators import resolve
 from oppflow.operators.history import first_wins
 from oppflow.operators.score import effective_tier, is_stale
+from oppflow.shared import materialize
 
 
 def fill_from_cache(df: DataFrame, cache: DataFrame, ttl_days: int, as_of: Column, key: str = "url") -> DataFrame:
@@ -76,16 +77,15 @@ def classify_upsert(source: DataFrame, target: DataFrame) -> DataFrame:
     the same host; else to the first page that it matches by the rules.
     Actions: create, update, unchanged, merge (by the rules) or not_a_grant.
     """
-    ident = lambda: keys.identity_key(keys.fingerprint(F.col("title"), F.col("url")), F.col("url"))
-    pages = target.withColumn("_ident", ident())
-    page_keys = resolve.build_keys(target, "title", "url", "page_id").select(F.col("id").alias("page_id"), F.col("k").alias("_pk"))
-    by_key = first_wins(pages.filter("_ident IS NOT NULL"), ["_ident"], [F.col("page_id")]).join(page_keys, "page_id").select("_ident", F.col("page_id").alias("_exact"), "_pk")
-    own = resolve.build_keys(source).select("id", F.col("k").alias("_k"))
-    rows = source.withColumn("_ident", ident()).join(own, "id").join(by_key, "_ident", "left")
+    ident = keys.identity_key(keys.fingerprint(F.col("title"), F.col("url")), F.col("url"))
+    own = materialize(resolve.with_keys(source.withColumn("_ident", ident), name="_k"), "source")
+    pages = materialize(resolve.with_keys(target.select("page_id", "title", "url", ident.alias("_ident")), name="_pk").select("page_id", "_ident", "_pk"), "target")
+    by_key = first_wins(pages.filter("_ident IS NOT NULL"), ["_ident"], [F.col("page_id")]).select("_ident", F.col("page_id").alias("_exact"), "_pk")
     void = F.coalesce(resolve.different_program(F.col("_k"), F.col("_pk")), F.lit(False))
-    rows = rows.withColumn("_exact", F.when(~void, F.col("_exact"))).drop("_pk", "_k", "_ident")
-    misses = rows.filter("_exact IS NULL AND NOT coalesce(not_a_grant, false)").select("id", "title", "url")
-    fuzzy = resolve.match_pairs(misses, target.select(F.col("page_id").alias("id"), "title", "url")).groupBy("id_a").agg(F.min("id_b").alias("_fuzzy"))
+    rows = materialize(own.join(by_key, "_ident", "left").withColumn("_exact", F.when(~void, F.col("_exact"))).drop("_pk", "_ident"), "exact")
+    misses = rows.filter("_exact IS NULL AND NOT coalesce(not_a_grant, false)").select("id", F.col("_k").alias("k"))
+    fuzzy = resolve.match_keyed(misses, pages.select(F.col("page_id").alias("id"), F.col("_pk").alias("k"))).groupBy("id_a").agg(F.min("id_b").alias("_fuzzy"))
+    rows = rows.drop("_k")
     rows = rows.join(fuzzy, rows["id"] == fuzzy["id_a"], "left").drop("id_a").withColumn("page_id", F.coalesce("_exact", "_fuzzy"))
     then = target.select("page_id", F.col("tier").alias("_tier"), F.col("score").alias("_score"), F.col("angle").alias("_angle"), F.col("researched").alias("_researched"))
     rows = rows.join(then, "page_id", "left")

@@ -6,6 +6,8 @@ table, one row per organisation, broadcast to the records.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,25 +30,33 @@ def _text(*c: Column) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(x, F.lit("")) for x in c]))
 
 
-def _has(text: Column, word: Column | str, bounded: bool) -> Column:
-    w = F.lit(word) if isinstance(word, str) else word
-    return F.regexp_like(text, F.concat(F.lit(r"(?<!\w)\Q"), w, F.lit(r"\E(?!\w)"))) if bounded else F.contains(text, w)
+def _has(text: Column, word: Column, bounded: bool) -> Column:
+    """Whether a word of a column occurs; the pattern is only tried where the letters stand at all."""
+    some = F.contains(text, word)
+    return some & F.regexp_like(text, F.concat(F.lit(r"(?<!\w)\Q"), word, F.lit(r"\E(?!\w)"))) if bounded else some
 
 
-def geo_score(title: Column, text: Column, place: Column, country: Column, willing: Column, word_bounded: bool = True) -> Column:
-    """1 for the own country down to 0.45 for none named. ``word_bounded`` off: parts of words count too."""
-    t = _text(title, text, place)
-    plain = strip_marks(t)
-    has = lambda *words: sum((_has(plain, w, word_bounded).cast("int") for w in words), F.lit(0)) > 0
-    near = F.exists(F.coalesce(willing, F.array().cast("array<string>")), lambda w: _has(t, F.lower(F.split(w, " ")[0]), word_bounded))
-    return (
-        F.when(_has(t, F.lower(country), word_bounded), 1.0)
-        .when(near, 0.9)
-        .when(has("central america", "mesoamerica", "centroamerica", "america central"), 0.85)
-        .when(has("latin america", "lac", "caribbean", "america latina", "latinoamerica", "el caribe") | F.coalesce(place == "LAC", F.lit(False)), 0.75)
-        .when(has("global", "worldwide", "international", "developing", "oda", "lmic"), 0.6)
-        .otherwise(0.45)
-    )
+def _named(plain: Column, words: list[str], bounded: bool) -> Column:
+    """Whether one of some words occurs."""
+    some = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(w)) for w in words])
+    return some & plain.rlike(r"(?<!\w)(?:" + "|".join(words) + r")(?!\w)") if bounded else some
+
+
+def place_score(text: Column, place: Column, word_bounded: bool = True) -> Column:
+    """The part of the place score that no organisation changes: 0.85 down to 0.45 for none named. ``text`` is lower-cased."""
+
+    def ladder(plain: Column) -> Column:
+        has = lambda words: _named(plain, words, word_bounded)
+        return F.when(has(fixed.CENTRAL), 0.85).when(has(fixed.LATIN) | F.coalesce(place == "LAC", F.lit(False)), 0.75).when(has(fixed.WORLD), 0.6).otherwise(0.45)
+
+    # the text without marks is made once for all words
+    return F.get(F.transform(F.array(strip_marks(text)), ladder), 0)
+
+
+def geo_score(text: Column, place_part: Column, country: Column, willing: Column, word_bounded: bool = True) -> Column:
+    """1 for the own country, 0.9 for one that the organisation works in, else ``place_part``. ``word_bounded`` off: parts of words count too."""
+    near = F.exists(F.coalesce(willing, F.array().cast("array<string>")), lambda w: _has(text, F.lower(F.split(w, " ")[0]), word_bounded))
+    return F.when(_has(text, F.lower(country), word_bounded), 1.0).when(near, 0.9).otherwise(place_part)
 
 
 def size_score(amount_min: Column, amount_max: Column, low: Column, high: Column, sweet_low: Column, sweet_high: Column) -> Column:
@@ -70,19 +80,13 @@ def deadline_score(deadline: Column, as_of: Column) -> Column:
 
 def org_type_score(title: Column, text: Column) -> Column:
     t = _text(title, text)
-    fit = (
-        F.when(t.rlike(r"\bingo\s+lead|\bnorthern\s+(ngo|partner)|us[-\s]based\s+org|501\(c\)|us\s+nonprofit"), 0.1)
-        .when(t.rlike(r"youth[-\s]led|youth[-\s]run|liderada[s]?\s+por\s+j[oó]venes|organizaci[oó]n\s+juvenil"), 1.0)
-        .when(t.rlike(r"local\s+(ngo|org|civil)|national\s+(ngo|org)|community[-\s]based|cso|organizaci[oó]n\s+local|sociedad\s+civil|ong\s+local"), 0.95)
-        .when(t.rlike(r"southern\s+(ngo|org|partner)|global\s+south|pa[ií]ses\s+en\s+desarrollo"), 0.9)
-        .otherwise(0.75)
-    )
+    fit = F.when(t.rlike(fixed.ORG_NORTHERN), 0.1).when(t.rlike(fixed.ORG_YOUTH), 1.0).when(t.rlike(fixed.ORG_LOCAL), 0.95).when(t.rlike(fixed.ORG_SOUTHERN), 0.9).otherwise(0.75)
     return 0.4 * fit
 
 
 def partnership_score(title: Column, text: Column) -> Column:
     t = _text(title, text)
-    return 0.3 * F.when(t.rlike("lead partner|consortium lead|northern partner|northern ngo"), 0.4).when(t.rlike("partnership required|must partner"), 0.7).when(t.rlike("partnership optional|can partner|may partner"), 0.95).otherwise(1.0)
+    return 0.3 * F.when(t.rlike(fixed.PARTNER_LEADS), 0.4).when(t.rlike(fixed.PARTNER_NEEDED), 0.7).when(t.rlike(fixed.PARTNER_OPTIONAL), 0.95).otherwise(1.0)
 
 
 def with_profile(df: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -94,22 +98,24 @@ def prescore(df: DataFrame, profiles: DataFrame, as_of: Column, word_bounded: bo
     """Add ``org``, the five sub-scores (struct ``scores``), ``prescore``, ``flags`` and ``days_remaining``."""
     p = lambda n: F.col(f"profile.{n}")
     title, text = F.col("title"), F.col("description")
-    out = with_profile(df, profiles)
     hard = ineligibility(title, text, F.coalesce(F.col("amount_max"), F.lit(0)) != 0, F.col("deadline_date").isNotNull() | (F.col("deadline_kind") == "rolling"))
-    out = out.withColumn("_hard", hard)
+    # what only the record decides is found once, below the join with the organisations
+    one = df.withColumn("_text", _text(title, text, F.col("country")))
+    one = one.withColumns({"_hard": hard, "_place": place_score(F.col("_text"), F.col("country"), word_bounded), "_org_type": org_type_score(title, text), "_partnership": partnership_score(title, text)})
+    out = with_profile(one, profiles)
     ok = F.col("_hard").isNull()
     zero = lambda c: F.when(ok, c).otherwise(0.0)
     scores = F.struct(
-        zero(geo_score(title, text, F.col("country"), p("country"), p("willing"), word_bounded)).alias("geo"),
+        zero(geo_score(F.col("_text"), F.col("_place"), p("country"), p("willing"), word_bounded)).alias("geo"),
         zero(size_score(F.col("amount_min"), F.col("amount_max"), p("size_min"), p("size_max"), p("sweet_min"), p("sweet_max"))).alias("size"),
         zero(deadline_score(F.col("deadline_date"), as_of)).alias("deadline"),
-        zero(org_type_score(title, text)).alias("org_type"),
-        zero(partnership_score(title, text)).alias("partnership"),
+        zero(F.col("_org_type")).alias("org_type"),
+        zero(F.col("_partnership")).alias("partnership"),
     )
     out = out.withColumn("scores", scores).withColumn("days_remaining", F.when(ok, days_left(F.col("deadline_date"), as_of)))
     flags = F.array_compact(F.array(F.col("_hard"), F.when(ok & (F.col("scores.geo") == 0), "INELIGIBLE_GEO"), F.when(F.col("days_remaining") < 15, "DEADLINE_TOO_CLOSE")))
     total = F.col("scores.geo") + F.col("scores.size") + F.col("scores.deadline") + F.col("scores.org_type") + F.col("scores.partnership")
-    return out.withColumn("prescore", F.round(total, 2)).withColumn("flags", flags).withColumn("org", p("org")).drop("_hard", "profile")
+    return out.withColumn("prescore", F.round(total, 2)).withColumn("flags", flags).withColumn("org", p("org")).drop("_hard", "_text", "_place", "_org_type", "_partnership", "profile")
 
 
 def gate(scored: DataFrame) -> tuple[DataFrame, DataFrame]:

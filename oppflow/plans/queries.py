@@ -65,11 +65,11 @@ def _plain_sql(c: str) -> str:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, title, url, description`` of the pages."""
     title = html_to_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), title.alias("title"), "url", F.substring(html_to_text(F.col("html")), 1, 400).alias("description"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), title.alias("title"), "url", html_to_text(F.col("html")).alias("description"))
 
 
 _RECORDS = rf"""
-SELECT page_id AS id, {_plain_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title, url, left({_plain_sql("html")}, 400) AS description FROM pages
+SELECT page_id AS id, {_plain_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title, url, {_plain_sql("html")} AS description FROM pages
 """
 
 _DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '')"
@@ -276,10 +276,10 @@ def new_posts(spark, sf_dir):
 
 
 def _scored_records(spark, sf_dir):
-    """Documents with an order's date as deadline and its price as amount."""
+    """Documents (the first line as title, the whole text) with an order's date as deadline and its price as amount."""
     docs = table(spark, sf_dir, "documents")
-    first = F.substring(F.split("text", "\n")[0], 1, 120)
-    rows = docs.select(F.col("doc_id").alias("id"), first.alias("title"), F.substring("text", 1, 2000).alias("description"), F.col("lang").alias("country"), "source", F.lit("").alias("url"))
+    first = F.substring_index("text", "\n", 1)
+    rows = docs.select(F.col("doc_id").alias("id"), first.alias("title"), F.col("text").alias("description"), F.col("lang").alias("country"), "source", F.lit("").alias("url"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("deadline_date"), F.col("o_totalprice").alias("amount_max"))
     return rows.join(o, "id", "left").withColumn("deadline_kind", F.when(F.col("deadline_date").isNull(), "unknown").otherwise("fixed")).withColumn("amount_min", F.lit(None).cast("double"))
 
@@ -289,7 +289,7 @@ def _profiles(spark):
     return spark.createDataFrame(rows, score.PROFILE)
 
 
-_SCORED_RECORDS = "SELECT doc_id AS id, substr(string_split(text, chr(10))[1], 1, 120) AS title, substr(text, 1, 2000) AS description, lang AS country, source, o_orderdate::DATE AS deadline_date, o_totalprice AS amount_max FROM documents LEFT JOIN orders ON o_orderkey = doc_id"
+_SCORED_RECORDS = "SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text AS description, lang AS country, source, o_orderdate::DATE AS deadline_date, o_totalprice AS amount_max FROM documents LEFT JOIN orders ON o_orderkey = doc_id"
 
 
 def _m(c: str, p: str) -> str:
@@ -340,16 +340,13 @@ t AS (SELECT h.*, o.*, lower(title || ' ' || description || ' ' || coalesce(h.co
 g AS (SELECT *, strip_accents(txt) AS plain FROM t),
 s AS (SELECT *,
   CASE WHEN regexp_matches(txt, '\\b' || home || '\\b') THEN 1.0 WHEN len(list_filter(willing, lambda w: regexp_matches(txt, '\\b' || w || '\\b'))) > 0 THEN 0.9
-   WHEN {_any_word("plain", "central america", "mesoamerica", "centroamerica", "america central")} THEN 0.85
-   WHEN {_any_word("plain", "latin america", "lac", "caribbean", "america latina", "latinoamerica", "el caribe")} THEN 0.75
-   WHEN {_any_word("plain", "global", "worldwide", "international", "developing", "oda", "lmic")} THEN 0.6 ELSE 0.45 END AS geo,
+   WHEN {_any_word("plain", *fixed.CENTRAL)} THEN 0.85
+   WHEN {_any_word("plain", *fixed.LATIN)} THEN 0.75
+   WHEN {_any_word("plain", *fixed.WORLD)} THEN 0.6 ELSE 0.45 END AS geo,
   0.8 * CASE WHEN coalesce(amount_max, 0) = 0 THEN 0.65 WHEN amount_max < lo THEN 0.4 WHEN amount_max > hi * 5 THEN 0.2 WHEN amount_max > hi THEN 0.5 WHEN amount_max BETWEEN slo AND shi THEN 0.85 + 0.15 * (amount_max - slo) / (shi - slo) WHEN amount_max < slo THEN 0.75 ELSE 0.85 END AS size,
   0.7 * CASE WHEN days IS NULL THEN 0.75 WHEN days < 0 THEN 0 WHEN days < 15 THEN 0.2 WHEN days < 30 THEN 0.5 WHEN days < 60 THEN 0.8 ELSE 1 END AS dl,
-  0.4 * CASE WHEN regexp_matches(body, '\\bingo\\s+lead|\\bnorthern\\s+(ngo|partner)|us[-\\s]based\\s+org|501\\(c\\)|us\\s+nonprofit') THEN 0.1
-   WHEN regexp_matches(body, 'youth[-\\s]led|youth[-\\s]run|liderada[s]?\\s+por\\s+j[oó]venes|organizaci[oó]n\\s+juvenil') THEN 1.0
-   WHEN regexp_matches(body, 'local\\s+(ngo|org|civil)|national\\s+(ngo|org)|community[-\\s]based|cso|organizaci[oó]n\\s+local|sociedad\\s+civil|ong\\s+local') THEN 0.95
-   WHEN regexp_matches(body, 'southern\\s+(ngo|org|partner)|global\\s+south|pa[ií]ses\\s+en\\s+desarrollo') THEN 0.9 ELSE 0.75 END AS org_type,
-  0.3 * CASE WHEN regexp_matches(body, 'lead partner|consortium lead|northern partner|northern ngo') THEN 0.4 WHEN regexp_matches(body, 'partnership required|must partner') THEN 0.7 WHEN regexp_matches(body, 'partnership optional|can partner|may partner') THEN 0.95 ELSE 1 END AS partner,
+  0.4 * CASE WHEN regexp_matches(body, {_re(fixed.ORG_NORTHERN)}) THEN 0.1 WHEN regexp_matches(body, {_re(fixed.ORG_YOUTH)}) THEN 1.0 WHEN regexp_matches(body, {_re(fixed.ORG_LOCAL)}) THEN 0.95 WHEN regexp_matches(body, {_re(fixed.ORG_SOUTHERN)}) THEN 0.9 ELSE 0.75 END AS org_type,
+  0.3 * CASE WHEN regexp_matches(body, {_re(fixed.PARTNER_LEADS)}) THEN 0.4 WHEN regexp_matches(body, {_re(fixed.PARTNER_NEEDED)}) THEN 0.7 WHEN regexp_matches(body, {_re(fixed.PARTNER_OPTIONAL)}) THEN 0.95 ELSE 1 END AS partner,
   round(1.2 * least(len(list_filter(kw, lambda w: contains(body, w))) / 5.0, 1.0), 2) AS mission
   FROM g),
 z AS (SELECT id, org, hard, geo, size, dl, mission, CASE WHEN hard IS NULL THEN days END AS days, CASE WHEN hard IS NULL THEN geo + size + dl + org_type + partner ELSE 0 END AS total FROM s)
