@@ -107,6 +107,20 @@ ORG_SOUTHERN = r"southern\s+(ngo|org|partner)|global\s+south|pa[ií]ses\s+en\s+d
 PARTNER_LEADS = "lead partner|consortium lead|northern partner|northern ngo"
 PARTNER_NEEDED = "partnership required|must partner"
 PARTNER_OPTIONAL = "partnership optional|can partner|may partner"
+# fixed values: words that make a text an announcement (plurals too), words that need a call to act beside them, and such calls (mark-free)
+STRONG_WORDS = ["grant", "grant program", "call for proposals", "call for applications", "convocatoria", "subvencion", "subvenciones", "fellowship", "challenge fund", "request for proposals", "rfp", "eoi", "expression of interest", "fund"]
+WEAK_WORDS = ["funding", "financiamiento", "fondo", "fondos", "cooperacion"]
+ACTION_CUES = ["aplica", "postula", r"apply\s*now", "deadline", "plazo", r"fecha\s*limite", r"convocatoria\s*abierta", r"hasta\s*el", r"cierra\s*el", r"closes?\s*on", r"due\s*date", "solicita", "inscrib"]
+# fixed value: the price line of a paid course or post
+PAID_LINE = r"inversion:\s*(?:bolivia|bs\.?|\$|usd|dolares|eur|euros)"
+# fixed values: hosts and the funders behind them
+FUNDER_HOSTS = {
+    "undp.org": "UNDP", "worldbank.org": "World Bank", "iucn.org": "IUCN", "gef.org": "GEF", "climateaction.fund": "Climate Action Fund", "unep.org": "UNEP", "eci.ox.ac.uk": "Oxford ECI", "usaid.gov": "USAID",
+    "macfound.org": "MacArthur Foundation", "ciff.org": "CIFF", "wellcome.org": "Wellcome Trust", "rockefellerfoundation.org": "Rockefeller Foundation",
+}
+# fixed values: labels of a newsletter's fields
+FIELD_LABELS = r"funding|amount|award|eligibility|description|deadline|due\s*date|link|url"
+KEY_LABELS = r"deadline[:：]|funding[:：]|award[:：]"
 # words without which none of DEADLINES, or of AMOUNTS, can match
 DEADLINE_SIGNS = r"deadline|close|due|apply|submit|open|fecha|cierr|vencimiento|convocatoria|\d{4}-\d{2}-\d{2}|\d/\d{4}"
 AMOUNT_SIGNS = r"\$|USD|EUR|up\s+to|grant|award|hasta|m[aá]ximo|prize"

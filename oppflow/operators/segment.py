@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oppflow.functions import keys
+from oppflow.functions import fixed, keys
 from oppflow.functions.text import html_to_text
 from oppflow.operators.extract import derive_segment_title
+from oppflow.shared import materialize
+
+
+def _bare(c) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(" \t\r\n"))
 
 
 def page_links(pages: DataFrame, skip_domains: list[str] | None = None, min_label: int = 3, context: int = 500) -> DataFrame:
-    """``page_id, pos, href, label``: links of each page in order, the first of each address; short labels and skipped hosts are left out."""
+    """``page_id, pos, href, label, context``: links of each page in order, the first of each address; short labels and skipped hosts are left out.
+
+    ``context``: the label with the text around it, up to the links before and after, at most so many characters.
+    """
     p = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(p), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(p), F.lit(2)).alias("inner"))
-    rows = pages.select("page_id", F.posexplode(found).alias("pos", "a")).select("page_id", "pos", F.col("a.href").alias("href"), html_to_text(F.col("a.inner")).alias("label"))
+    all_of = lambda k: F.regexp_extract_all("html", F.lit(p), F.lit(k))
+    between = F.split("html", p, -1)
+    found = F.arrays_zip(all_of(1).alias("href"), all_of(2).alias("inner"), F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))).alias("before"), F.slice(between, 2, F.size(between)).alias("after"))
+    rows = pages.select("page_id", F.posexplode(found).alias("pos", "a")).select("page_id", "pos", F.col("a.href").alias("href"), html_to_text(F.col("a.inner")).alias("label"), html_to_text(F.col("a.before")).alias("_b"), html_to_text(F.col("a.after")).alias("_a"))
+    side = F.lit(max(context // 2 - 50, 0))
+    around = F.trim(F.concat_ws(" ", F.right("_b", side), F.left("label", F.lit(98)), F.left("_a", side)))
+    rows = rows.select("page_id", "pos", "href", "label", F.left(around, F.lit(context)).alias("context"))
     rows = rows.filter(F.length("label") >= min_label)
     if skip_domains:
         rows = rows.filter(~keys.url_domain(F.col("href")).isin(skip_domains))
@@ -41,6 +55,27 @@ def segment_labelled(messages: DataFrame, id_col: str = "message_id", body_col:
     return out.filter((F.size("fields") >= 2) & known).select("message_id", "pos", "title", "fields")
 
 
+def segment_piped(messages: DataFrame, id_col: str = "message_id", body_col: str = "body") -> DataFrame:
+    """``message_id, pos, title, fields`` of lines ``Label: value | Label: value``, one item a line.
+
+    A line needs a bar and a deadline, funding or award. The title stands before the first label, else it is the nearest
+    line above, at most five lines up, that is no such line, no field and no address, and has 6 to 220 characters.
+    """
+    lines = messages.select(F.col(id_col).alias("message_id"), F.posexplode(F.split(body_col, r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    line = F.col("line")
+    item = line.rlike(f"(?i){fixed.KEY_LABELS}") & F.contains(line, F.lit("|"))
+    first = F.regexp_instr(line, F.lit(rf"(?i)(?:{fixed.FIELD_LABELS})[:：]\s*"))
+    own = F.trim(F.substr(line, F.lit(1), first - 1))
+    titled = ~item & ~line.rlike(rf"(?i)^(?:{fixed.FIELD_LABELS})[:：]") & ~line.rlike(r"^https?://") & F.length(line).between(6, 220)
+    above = F.last(F.when(titled, line), ignorenulls=True).over(Window.partitionBy("message_id").orderBy("pos").rowsBetween(-5, -1))
+    rows = lines.withColumn("item", item).withColumn("above", above).filter("item").withColumn("own", own)
+    parts = F.filter(F.transform(F.split(F.substr(line, first), r"\|"), F.trim), lambda x: x.rlike(r"^[^:：]{1,30}[:：]\s*\S"))
+    pair = lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^([^:：]{1,30})[:：]", 1))).alias("key"), F.trim(F.regexp_extract(x, r"(?s)^[^:：]{1,30}[:：]\s*(.+)$", 1)).alias("value"))
+    rows = rows.withColumn("kv", F.transform(parts, pair))
+    new = F.filter("kv", lambda x, k: ~F.exists(F.slice("kv", F.lit(1), k), lambda y: y["key"] == x["key"]))
+    return rows.select("message_id", "pos", F.when(F.length("own") >= 6, F.col("own")).otherwise(F.col("above")).alias("title"), F.map_from_entries(new).alias("fields"))
+
+
 def segment_bracketed(messages: DataFrame, regions: DataFrame, id_col: str = "message_id", body_col: str = "body") -> DataFrame:
     """``message_id, region, country, funder, title, text`` of ``[Region] Funder: Title: text`` items; equal funder and title once.
 
@@ -65,7 +100,7 @@ def segment_feed_page(pages: DataFrame, id_col: str = "page_id", body_col: str =
 
 #: Marks of list posts, the first kind that fits is taken: numbers, keycaps, arrows, right arrows, bullets.
 MARKERS = [r"(?m)^\s*(?:\d{1,2})[.)]\s+", r"(?:\d\x{FE0F}?\x{20E3}|\x{1F51F})\s*", r"(?m)^\s*(?:\x{27A1}\x{FE0F}?)\s*", r"(?m)^\s*(?:→|\x{25B6}\x{FE0F}?)\s*", r"(?m)^\s*[•▪●\x{2705}]\s*"]
-FOOTER = r"(?is)\n\s*(?:follow us|comparte|share this|#\S+(?:\s+#\S+)+\s*$).*"
+FOOTER = r"(?is)\n\s*(?:follow us|comparte|share this|#\S++(?:\s++#\S++)++\s*$).*"
 
 
 def looks_like_record(segment: Column, strict: bool = False) -> Column:
@@ -74,8 +109,17 @@ def looks_like_record(segment: Column, strict: bool = False) -> Column:
     return some & segment.rlike(r"(?i)grant|fund|award|prize|fellowship|challenge|convocatoria|fondo|premio|beca") if strict else some
 
 
+#: Names of the kinds of marks.
+KINDS = ["numbers", "keycaps", "arrows", "right arrows", "bullets"]
+#: Characters before the first item that go with each of them.
+HEADER = 200
+
+
 def segment_posts(posts: DataFrame, id_col: str = "post_id", text_col: str = "post_text") -> DataFrame:
-    """``post_id, segment, text, title``: list posts as one row per item, all others as they are (segment 0)."""
+    """``post_id, segment, text, title, kind, header, start, end``: list posts as one row per item, all others as they are (segment 0).
+
+    ``header`` is what stands before the first item, ``start`` and ``end`` the item's place in the text (from its mark on, end exclusive).
+    """
     body = F.regexp_replace(F.coalesce(text_col, F.lit("")), FOOTER, "")
     rows = posts.select(F.col(id_col).alias("post_id"), body.alias("body"))
     kinds = []
@@ -85,12 +129,40 @@ def segment_posts(posts: DataFrame, id_col: str = "post_id", text_col: str = "po
         if k == 0:
             numbers = F.transform(F.regexp_extract_all("body", F.lit(r"(?m)^\s*(\d{1,2})[.)]\s+"), F.lit(1)), lambda x: x.cast("int"))
             ok = ok & (numbers == F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1))))
-        items = F.slice(F.split("body", p), 2, 100)
-        kinds.append(F.when(ok & (F.size(F.filter(items, lambda x: looks_like_record(x))) >= 2), F.filter(items, lambda s: F.trim(s) != "")))
-    rows = rows.withColumn("items", F.coalesce(*kinds))
-    many = rows.filter("items IS NOT NULL").select("post_id", F.posexplode("items").alias("segment", "text")).withColumn("segment", F.col("segment") + 1)
-    one = rows.filter("items IS NULL").select("post_id", F.lit(0).alias("segment"), F.col("body").alias("text"))
-    return many.unionByName(one).withColumn("text", F.trim("text")).withColumn("title", derive_segment_title(F.col("text")))
+        parts, marks = F.split("body", p, -1), F.regexp_extract_all("body", F.lit(p), F.lit(0))
+        items = F.slice(parts, 2, 100)
+        found = F.struct(F.lit(KINDS[k]).alias("kind"), F.get(parts, 0).alias("header"), F.arrays_zip(items.alias("text"), F.slice(marks, 1, F.size(items)).alias("mark")).alias("items"))
+        kinds.append(F.when(ok & (F.size(F.filter(items, lambda x: looks_like_record(x))) >= 2), found))
+    rows = rows.withColumn("list", F.coalesce(*kinds))
+    upto = Window.partitionBy("post_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    many = rows.filter("list IS NOT NULL").select("post_id", "list.kind", "list.header", F.posexplode("list.items").alias("segment", "i"))
+    long = F.length("i.mark") + F.length("i.text")
+    many = many.withColumn("end", (F.length("header") + F.sum(long).over(upto)).cast("int")).withColumn("start", (F.col("end") - long).cast("int"))
+    many = many.filter(F.trim("i.text") != "").select("post_id", (F.col("segment") + 1).alias("segment"), F.col("i.text").alias("text"), "kind", F.left(_bare("header"), F.lit(HEADER)).alias("header"), "start", "end")
+    one = rows.filter("list IS NULL").select("post_id", F.lit(0).alias("segment"), F.col("body").alias("text"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("header"), F.lit(0).alias("start"), F.length("body").alias("end"))
+    out = many.unionByName(one).withColumn("text", _bare("text"))
+    return out.select("post_id", "segment", "text", derive_segment_title(F.col("text")).alias("title"), "kind", "header", "start", "end")
+
+
+def split_posts(posts: DataFrame) -> DataFrame:
+    """Each post as its records: ``post_id, n, how, title, description, url, url_is_fallback``.
+
+    ``posts``: post_id (once), post_text, post_url and ``links`` (array of url, label, idx, junk; idx is the link's place
+    in the text). A list post gives a row per item with the links that stand in it and the text before the list as
+    context; else a post that announces several calls and holds several links a row per link; else one row. A row
+    without a link of its own has the post's address, and says so.
+    """
+    cut = segment_posts(posts).withColumnRenamed("title", "_title")
+    of = posts.select("post_id", "post_url", F.filter("links", lambda l: l["junk"].isNull()).alias("links"))
+    rows = cut.join(of, "post_id")
+    inside = F.filter("links", lambda l: (l["idx"] >= F.col("start")) & (l["idx"] < F.col("end")))
+    whole = F.when(F.col("segment") > 0, inside).otherwise(F.col("links"))
+    listed = rows.withColumn("url", F.get(F.transform(whole, lambda l: l["url"]), 0))
+    single = listed.select("post_id", F.col("segment").alias("n"), F.when(F.col("segment") > 0, "list").otherwise("whole").alias("how"), F.col("_title").alias("title"), F.when(F.col("header") != "", F.concat("text", F.lit("\n\n["), "header", F.lit("]"))).otherwise(F.col("text")).alias("description"), "url", "post_url")
+    plain = rows.filter("segment = 0").select("post_id", F.col("text").alias("post_text"), F.col("_title").alias("title"), F.transform("links", lambda l: F.struct(l["url"].alias("url"), l["label"].alias("label"))).alias("links"), "post_url")
+    by_link = split_multi_link(plain).join(plain.select("post_id", "post_text", "post_url"), "post_id").select("post_id", "n", F.lit("links").alias("how"), "title", F.col("post_text").alias("description"), "url", "post_url")
+    out = single.join(by_link.select("post_id").distinct(), "post_id", "left_anti").unionByName(by_link)
+    return out.select("post_id", "n", "how", "title", "description", F.coalesce("url", "post_url").alias("url"), F.col("url").isNull().alias("url_is_fallback"))
 
 
 def split_multi_link(posts: DataFrame, id_col: str = "post_id") -> DataFrame:
@@ -137,6 +209,11 @@ def next_start(df: DataFrame, by: str, start: str) -> DataFrame:
 DIGEST = r"(?i)\b(?:\d+\s+(?:grants?|funding|opportunities|calls)|round-?up|digest|weekly|newsletter|this week|top \d+)\b"
 
 
+def digest_entries(pages: DataFrame, skip_domains: list[str] | None = None) -> DataFrame:
+    """``digest_id, title, url, context`` of the links of digest pages (``page_id, html``)."""
+    return page_links(pages, skip_domains).select(F.col("page_id").alias("digest_id"), F.col("label").alias("title"), F.col("href").alias("url"), "context")
+
+
 def expand_digests(records: DataFrame, entries: DataFrame) -> DataFrame:
     """Digests replaced by their entries (``digest_id, title, url, context``).
 
@@ -174,12 +251,24 @@ def needs_media(records: DataFrame, short: int = 120) -> DataFrame:
 
 
 def match_with_fallback(left: DataFrame, right: DataFrame, key: str, text: str, n: int = 50, least: int = 30) -> DataFrame:
-    """``left`` rows with the ``right`` row of the same key; those without one by their first ``n`` normalised characters."""
+    """``left`` rows with the ``right`` row of the same key; the others by their first ``n`` normalised characters, where a right text holds them.
+
+    Heads of fewer than ``least`` characters match nothing. A head meets the texts that hold its first 12 characters; of
+    several right rows the one whose text, then whose other columns sort first counts.
+    """
     from oppflow.functions.text import normalize_text
 
-    r = right.select(F.col(key).alias("_k"), F.substring(normalize_text(F.col(text)), 1, n).alias("_t"), F.struct(*right.columns).alias("found"))
-    l = left.withColumn("_lt", F.substring(normalize_text(F.col(text)), 1, n))  # noqa: E741
-    by_key = l.join(r.dropDuplicates(["_k"]).drop("_t"), F.col(key) == F.col("_k"), "left").drop("_k")
+    gram = 12
+    whole = normalize_text(F.col(text))
+    first = lambda df, by: df.groupBy(by).agg(F.min(F.struct("_t", "found")).alias("_b")).select(by, F.col("_b.found").alias("found"))
+    r = right.select(F.col(key).alias("_k"), whole.alias("_t"), F.struct(*right.columns).alias("found"))
+    rows = left.withColumns({"_row": F.monotonically_increasing_id(), "_head": F.substring(whole, 1, n)})
+    rows = materialize(rows, "left")
+    by_key = rows.join(first(r.filter("_k IS NOT NULL"), "_k"), F.col(key) == F.col("_k"), "left").drop("_k")
     miss = by_key.filter("found IS NULL").drop("found")
-    by_text = miss.join(r.filter(F.length("_t") >= least).dropDuplicates(["_t"]).drop("_k"), F.col("_lt") == F.col("_t"), "left").drop("_t")
-    return by_key.filter("found IS NOT NULL").unionByName(by_text).drop("_lt")
+    long = r.filter(F.length("_t") >= least)
+    grams = long.select("_t", "found", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - gram + 1), lambda i: F.substr("_t", i, F.lit(gram))))).alias("_g"))
+    heads = miss.filter(F.length("_head") >= least).select("_row", "_head", F.left("_head", F.lit(gram)).alias("_g"))
+    met = first(heads.join(grams, "_g").filter(F.contains("_t", F.col("_head"))), "_row")
+    by_text = miss.join(met, "_row", "left")
+    return by_key.filter("found IS NOT NULL").unionByName(by_text).drop("_row", "_head")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from oppflow.functions import fixed, keys
 from oppflow.functions.text import html_to_text, is_generic_title, normalize_for_match, normalize_text, qualify_title
 from oppflow.operators import extract, history, merge, report, resolve, rules, score, segment
-from oppflow.shared import table
+from oppflow.shared import spread, table
 from oppflow.streaming.incremental import source_arrivals
 
 AS_OF = "1997-06-01"
@@ -65,7 +65,7 @@ def _plain_sql(c: str) -> str:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, title, url, description`` of the pages."""
     title = html_to_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), title.alias("title"), "url", html_to_text(F.col("html")).alias("description"))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(F.col("page_id").alias("id"), title.alias("title"), "url", html_to_text(F.col("html")).alias("description"))
 
 
 _RECORDS = rf"""
@@ -244,7 +244,7 @@ SELECT page_id, pos::INTEGER AS pos, href, label FROM c WHERE n = 1"""
 )
 def page_links(spark, sf_dir):
     """Links of every page, the first of each address."""
-    return segment.page_links(table(spark, sf_dir, "pages"))
+    return segment.page_links(table(spark, sf_dir, "pages")).drop("context")
 
 
 # Documents as posts and record texts ------------------------------------------------------------------------------------
@@ -277,7 +277,7 @@ def new_posts(spark, sf_dir):
 
 def _scored_records(spark, sf_dir):
     """Documents (the first line as title, the whole text) with an order's date as deadline and its price as amount."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     first = F.substring_index("text", "\n", 1)
     rows = docs.select(F.col("doc_id").alias("id"), first.alias("title"), F.col("text").alias("description"), F.col("lang").alias("country"), "source", F.lit("").alias("url"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("deadline_date"), F.col("o_totalprice").alias("amount_max"))
@@ -396,7 +396,7 @@ SELECT source, count(*) AS n, count(*) FILTER (WHERE rolling) AS rolling, count(
 def rolling_and_dated(spark, sf_dir):
     """Rolling phrases and ISO dates in the texts of each source."""
     t = F.col("text")
-    got = table(spark, sf_dir, "documents").select("source", extract.extract_deadline(t).alias("d"), F.try_to_date(F.nullif(F.regexp_extract(t, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))).alias("iso"))
+    got = spread(table(spark, sf_dir, "documents"), "doc_id").select("source", extract.extract_deadline(t).alias("d"), F.try_to_date(F.nullif(F.regexp_extract(t, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))).alias("iso"))
     kind = F.col("d.deadline_kind")
     return got.groupBy("source").agg(F.count("*").alias("n"), F.count_if(kind == "rolling").alias("rolling"), F.count_if((kind == "fixed") & F.col("iso").isNotNull()).alias("iso_dated"))
 
@@ -404,7 +404,7 @@ def rolling_and_dated(spark, sf_dir):
 @query()
 def extraction_coverage(spark, sf_dir):
     """Deadlines and amounts found in the texts of each source."""
-    return extract.extraction_coverage(extract.extract_fields(table(spark, sf_dir, "documents")), "source")
+    return extract.extraction_coverage(extract.extract_fields(spread(table(spark, sf_dir, "documents"), "doc_id")), "source")
 
 
 @query()
