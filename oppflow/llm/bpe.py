@@ -37,6 +37,8 @@ from oppflow.shared import materialize
 CHUNK_BYTES = 10 << 20
 #: Words in one call of the tokenizer.
 _CALL = 2000
+#: Positions of a chunk whose ids are put in order at a time.
+_POSITIONS = 1 << 18
 #: Buckets of words; their number only says how finely the work can be dealt.
 BUCKETS = 128
 #: Bytes of words encoded at a time.
@@ -193,6 +195,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     release()
         if rows:
             yield encode_slice(rows)
+        _cache.clear()  # other buckets have other words
         release()
 
     def positions(batches):
@@ -205,21 +208,25 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
         release()
         at = np.concatenate(_column(left["at"].to_pylist(), "<u4"))
-        places = [np.cumsum(p, dtype=np.int64) for p in _column(right["places"].to_pylist(), "<u4")]
-        lens = np.concatenate([np.zeros(0, "<u4"), *_column(right["lens"].to_pylist(), "<u4")]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, "<u4"), *_column(right["ids"].to_pylist(), "<u4")])
-        order = np.concatenate([np.zeros(0, np.int64), *places])
+        order = np.concatenate([np.zeros(0, np.uint32), *[np.cumsum(p, dtype=np.uint32) for p in _column(right["places"].to_pylist(), "<u4")]])
         if len(at) and (not len(order) or at.max() >= len(order)):
             raise ValueError("a chunk lacks its word list")
-        first = np.cumsum(lens) - lens
-        place = np.zeros(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        pos = place[at]
-        n = lens[pos]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(first[pos] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        lens = np.concatenate([np.zeros(0, "<u4"), *_column(right["lens"].to_pylist(), "<u4")]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, "<u4"), *_column(right["ids"].to_pylist(), "<u4")])
+        first = np.cumsum(lens, dtype=np.int32) - lens
+        place = np.zeros(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        got, n_ids = [np.zeros(0, np.uint32)], np.zeros(len(at) + 1, np.int64)
+        for s in range(0, len(at), _POSITIONS):
+            pos = place[at[s : s + _POSITIONS]]
+            n = lens[pos]
+            ends = np.cumsum(n)
+            got.append(flat[np.repeat(first[pos] - (ends - n), n) + np.arange(ends[-1])])
+            n_ids[s + 1 : s + 1 + len(n)] = n
+        del at, order, lens, flat, first, place
+        ids = np.concatenate(got)
         count = left["count"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        per_doc = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])])
+        per_doc = np.diff(np.cumsum(n_ids)[np.concatenate([[0], np.cumsum(count)])])
         return pa.table({"id": left["id"].combine_chunks().flatten(), "ids": lists(pa.array(ids.astype(np.int32)), per_doc)})
 
     ints = T.ArrayType(T.IntegerType())
