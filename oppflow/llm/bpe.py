@@ -137,10 +137,11 @@ def _chunk(batch: pa.RecordBatch) -> tuple[int, pa.Array, np.ndarray, np.ndarray
     return h.intdigest() - (1 << 63), listed, rank[at], count
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, chunk_bytes: int = CHUNK_BYTES, of_files: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, chunk_bytes: int = CHUNK_BYTES, of_files: bool = False, decoded: bool = False) -> DataFrame:
     """``id_col`` and ``ids array<int>`` of every row of ``docs``, as the tokenizer at ``path`` encodes whole texts.
 
     ``of_files``: ``docs`` is a table of files, whose rows come in the same order whenever a task reads them.
+    ``decoded``: add what :func:`decode` does, in the same Python worker.
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -227,13 +228,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         ids = np.concatenate(got)
         count = left["count"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         per_doc = np.diff(np.cumsum(n_ids)[np.concatenate([[0], np.cumsum(count)])])
-        return pa.table({"id": left["id"].combine_chunks().flatten(), "ids": lists(pa.array(ids.astype(np.int32)), per_doc)})
+        out = {"id": left["id"].combine_chunks().flatten(), "ids": lists(pa.array(ids.astype(np.int32)), per_doc)}
+        if decoded:
+            pieces = piece_table(path)
+            out["decoded"] = pa.array([t for k in range(0, len(out["ids"]), 500) for t in _texts(pieces, out["ids"].slice(k, 500))], pa.string())
+        return pa.table(out)
 
     ints = T.ArrayType(T.IntegerType())
     words = src.mapInArrow(split_words, "bucket int, chunk long, words binary, sizes binary, places binary")
     table = words.repartition("bucket").mapInArrow(encode_bucket, "chunk long, places binary, lens binary, ids binary")
     at = src.mapInArrow(positions, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("id", T.ArrayType(id_type)), T.StructField("count", ints), T.StructField("at", T.BinaryType())]))
-    out = at.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(join_back, T.StructType([T.StructField("id", id_type), T.StructField("ids", ints)]))
+    out = at.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(join_back, T.StructType([T.StructField("id", id_type), T.StructField("ids", ints), *([T.StructField("decoded", T.StringType())] if decoded else [])]))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -249,6 +254,15 @@ def piece_table(path: str) -> pa.Array:
     return pa.array([rows.get(i, b"") for i in range(max(rows) + 1)], pa.binary())
 
 
+def _texts(pieces: pa.Array, ids: pa.ListArray) -> list[str]:
+    """The joined pieces of each list of ids."""
+    got = pieces.take(ids.flatten())
+    offs = np.frombuffer(got.buffers()[1], np.int32)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int32)
+    body = memoryview(got.buffers()[2]) if len(got) else b""
+    cut = offs[ids.offsets.to_numpy(zero_copy_only=False) - ids.offsets[0].as_py()]
+    return [bytes(body[s:e]).decode("utf-8", "replace") for s, e in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Add ``decoded string``: the pieces of the ids, joined, as UTF-8 (invalid bytes become U+FFFD)."""
     cols = encoded.select(id_col, ids_col)
@@ -260,14 +274,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             pieces = piece_table(path)
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                ids = part.column(1)
-                got = pieces.take(ids.flatten())
-                offs = np.frombuffer(got.buffers()[1], np.int32)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int32)
-                body = memoryview(got.buffers()[2]) if len(got) else b""
-                cut = offs[ids.offsets.to_numpy(zero_copy_only=False) - ids.offsets[0].as_py()]
-                texts = [bytes(body[s:e]).decode("utf-8", "replace") for s, e in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], [id_col, ids_col, "decoded"])
-            del b, part, ids, got, texts
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_texts(pieces, part.column(1)), pa.string())], [id_col, ids_col, "decoded"])
+            del b, part
             release()
 
     return cols.mapInArrow(run, T.StructType([*cols.schema.fields, T.StructField("decoded", T.StringType())]))
@@ -275,8 +283,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Rows of the query over a table of files: token count, hash of the ids, hash of the decoded text."""
-    both = decode(encode(docs, path, of_files=True), path)
-    return both.select(
+    return encode(docs, path, of_files=True, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

@@ -81,3 +81,10 @@ def test_known_words_are_bounded(monkeypatch):
         assert flat.tolist() == ids.tolist() and n.tolist() == m.tolist()
         assert all(len(x) <= 200 for x in bpe._cache[path, "encode_words"])
     assert len(want[1]) == 301
+
+
+def test_both_ways_of_decoding_are_one(spark):
+    path = bpe.public_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "é à 日本 🙂 text"), (2, None), (3, "x " * 900)], "doc_id long, text string")
+    apart = {r.doc_id: (r.ids, r.decoded) for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    assert apart == {r.doc_id: (r.ids, r.decoded) for r in bpe.encode(docs, path, decoded=True).collect()} and apart[1][1] == "é à 日本 🙂 text"
