@@ -281,9 +281,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return cols.mapInArrow(run, T.StructType([*cols.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
+def digest(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of the query over a table of files: token count, hash of the ids, hash of the decoded text."""
-    return encode(docs, path, of_files=True, decoded=True).select(
+    return encode(docs, path, chunk_bytes=chunk_bytes, of_files=True, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
