@@ -59,14 +59,22 @@ def clean_title(c: Column, compat: bool = True) -> Column:
     return fold(c) if compat else c
 
 
+def _without_element(c: Column, name: str) -> Column:
+    """A page without the elements of a name, each up to its first end tag; one that never ends stays. The text is cut at the end tags, so none is searched for twice."""
+    cut = F.split(c, rf"(?i)</{name}>", -1)
+    inner = F.transform(F.slice(cut, 1, F.size(cut) - 1), lambda x: F.concat(F.regexp_replace(x, rf"(?is)<{name}\b.*$", ""), F.lit(" ")))
+    return F.when(F.size(cut) > 1, F.concat(F.array_join(inner, ""), F.element_at(cut, -1))).otherwise(c)
+
+
 def html_to_text(c: Column, blocks: bool = False) -> Column:
     """Text of a page. ``blocks``: line ends for br, p, div, li and tr, bars between cells; else one line."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<style\b.*?</style>", " ")
-    c = F.regexp_replace(c, r"(?is)<script\b.*?</script>", " ")
+    c = _without_element(_without_element(F.coalesce(c, F.lit("")), "style"), "script")
     if blocks:
         c = F.regexp_replace(c, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>", "\n")
         c = F.regexp_replace(c, r"(?i)</t[dh]>", " | ")
-    c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
+    # what stands after the last end of a tag holds none, and before it each tag ends
+    rest = F.substring_index(c, ">", -1)
+    c = F.concat(F.regexp_replace(F.left(c, F.char_length(c) - F.char_length(rest)), r"(?s)<[^>]*>", " "), rest)
     for name, ch in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
         c = F.replace(c, F.lit(f"&{name};"), F.lit(ch))
     if not blocks:

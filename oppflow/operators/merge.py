@@ -115,7 +115,7 @@ def upsert(source: DataFrame, target: DataFrame, as_of: Column) -> tuple[DataFra
 def catalogue_candidates(snapshot: DataFrame, fresh: DataFrame, tiers: list[str]) -> DataFrame:
     """Catalogue rows of some tiers as records, less those that are among the fresh ones by address or title, and the fresh ones."""
     known = fresh.select(F.coalesce(F.nullif("url", F.lit("")), "title").alias("_k")).distinct()
-    amount = F.regexp_replace(F.regexp_extract(F.coalesce(F.col("amount_text"), F.lit("")), r"([\d][\d,]*)\s*$", 1), ",", "").try_cast("decimal(18,2)")
+    amount = F.regexp_replace(F.regexp_extract(F.coalesce(F.col("amount_text"), F.lit("")), r"(?<!\d)(?<!\d,)(\d[\d,]*+)\s*+$", 1), ",", "").try_cast("decimal(18,2)")
     back = snapshot.filter(F.col("tier").isin(tiers)).withColumn("_k", F.coalesce(F.nullif("url", F.lit("")), "title")).join(known, "_k", "left_anti")
     back = back.select(F.col("page_id").cast("string").alias("id"), "title", "url", amount.alias("amount_max"), F.concat_ws("\n", "summary", "notes").alias("description"), F.col("score").alias("final_score"), F.col("tier").alias("recommendation"), "scan_date", "pinned")
     return fresh.withColumn("id", F.col("id").cast("string")).unionByName(back, allowMissingColumns=True)

@@ -21,11 +21,16 @@ def page_links(pages: DataFrame, skip_domains: list[str] | None = None, min_labe
 
     ``context``: the label with the text around it, up to the links before and after, at most so many characters.
     """
-    p = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
-    all_of = lambda k: F.regexp_extract_all("html", F.lit(p), F.lit(k))
-    between = F.split("html", p, -1)
-    found = F.arrays_zip(all_of(1).alias("href"), all_of(2).alias("inner"), F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))).alias("before"), F.slice(between, 2, F.size(between)).alias("after"))
-    rows = pages.select("page_id", F.posexplode(found).alias("pos", "a")).select("page_id", "pos", F.col("a.href").alias("href"), html_to_text(F.col("a.inner")).alias("label"), html_to_text(F.col("a.before")).alias("_b"), html_to_text(F.col("a.after")).alias("_a"))
+    # cut at the end tags: a piece ends one link at most, which begins with its first begin tag that has an address
+    tag = r'(?is)^[^>]*?\bhref="([^"]*)"([^>]*>.*)$'
+    cut = pages.select("page_id", F.posexplode(F.split("html", r"(?i)</a>", -1)).alias("_at", "_p")).select("page_id", "_at", F.split("_p", r"(?i)<a\b", -1).alias("_s"))
+    begun = F.transform("_s", lambda x, i: F.when((i > 0) & F.contains(x, F.lit(">")), F.regexp_extract(x, tag, 2)).otherwise(""))
+    cut = cut.withColumn("_r", begun).withColumn("_i", F.array_position(F.transform("_r", lambda x: x != ""), True).cast("int") - 1)
+    later = F.slice("_s", F.col("_i") + 2, F.greatest(F.size("_s") - F.col("_i") - 1, F.lit(0)))
+    is_link, inner = F.col("_i") >= 0, F.concat(F.regexp_extract(F.get("_r", F.col("_i")), r"(?s)^[^>]*>(.*)$", 1), F.array_join(F.transform(later, lambda x: F.concat(F.lit("<a"), x)), ""))
+    rows = cut.select("page_id", "_at", F.when(is_link, F.regexp_extract(F.get("_s", F.col("_i")), tag, 1)).alias("href"), html_to_text(F.when(is_link, inner)).alias("label"), html_to_text(F.array_join(F.when(is_link, F.slice("_s", F.lit(1), F.col("_i"))).otherwise(F.col("_s")), "<a")).alias("_b"))
+    place = Window.partitionBy("page_id").orderBy("_at")
+    rows = rows.withColumns({"_a": F.lead("_b").over(place), "pos": F.count("href").over(place.rowsBetween(Window.unboundedPreceding, -1)).cast("int")}).filter("href IS NOT NULL").drop("_at")
     side = F.lit(max(context // 2 - 50, 0))
     around = F.trim(F.concat_ws(" ", F.right("_b", side), F.left("label", F.lit(98)), F.left("_a", side)))
     rows = rows.select("page_id", "pos", "href", "label", F.left(around, F.lit(context)).alias("context"))
@@ -81,7 +86,7 @@ def segment_bracketed(messages: DataFrame, regions: DataFrame, id_col: str = "me
 
     ``regions`` (region, country) is a small table.
     """
-    item = r"(?s)\[([^\]\n]{2,40})\]\s*([^:\n]{2,80}):\s*([^:\n]{2,160}):\s*(.*?)(?=\n\s*\[[^\]\n]{2,40}\]|\n\s*(?:Unsubscribe|You are receiving|View in browser)|\z)"
+    item = r"(?s)\[([^\]\n]{2,40})\]\s*([^:\n]{2,80}):\s*([^:\n]{2,160}):\s*(.*?)(?:(?<!\s)(?=[^\S\n]*+\n\s*+(?:\[[^\]\n]{2,40}\]|Unsubscribe|You are receiving|View in browser))|\z)"
     zipped = F.arrays_zip(*[F.regexp_extract_all(body_col, F.lit(item), F.lit(k)).alias(n) for k, n in enumerate(("region", "funder", "title", "text"), 1)])
     rows = messages.select(F.col(id_col).alias("message_id"), F.posexplode(zipped).alias("pos", "s")).select("message_id", "pos", "s.*")
     w = Window.partitionBy("message_id", "funder", "title").orderBy("pos")
