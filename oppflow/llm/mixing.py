@@ -46,7 +46,7 @@ MARGINS = ["source", "lang", "topic"]
 
 def default_topic(text: Column) -> Column:
     """A coarse kind of content: ``legal``, ``contact``, ``table`` or ``prose``."""
-    return F.when(text.rlike("(?i)licen[sc]e|copyright"), "legal").when(text.rlike(r"[\w.]+@\w+\.\w+"), "contact").when(F.contains(text, F.lit(" | ")), "table").otherwise("prose")
+    return F.when(text.rlike("(?i)licen[sc]e|copyright"), "legal").when(text.rlike(r"[\w.]@\w++\.\w"), "contact").when(F.contains(text, F.lit(" | ")), "table").otherwise("prose")
 
 
 def _cell(topic: Column | None, text_col: str, source_col: str, lang_col: str) -> dict[str, Column]:
