@@ -124,3 +124,48 @@ KEY_LABELS = r"deadline[:：]|funding[:：]|award[:：]"
 # words without which none of DEADLINES, or of AMOUNTS, can match
 DEADLINE_SIGNS = r"deadline|close|due|apply|submit|open|fecha|cierr|vencimiento|convocatoria|\d{4}-\d{2}-\d{2}|\d/\d{4}"
 AMOUNT_SIGNS = r"\$|USD|EUR|up\s+to|grant|award|hasta|m[aá]ximo|prize"
+
+# fixed values: marks of list posts by kind, in order of trust (numbers are found apart)
+LIST_MARKS = [
+    ("keycaps", r"(?:[0-9#*]\x{FE0F}?\x{20E3}|\x{1F51F})"),
+    ("arrows", r"[➜➔➤▶►→]\x{FE0F}?"),
+    ("right arrows", r"➡\x{FE0F}?"),
+    ("bullets", r"[🔹🔸🔶🔷▪▫◆■●•✅☑✔]\x{FE0F}?"),
+]
+LIST_NUMBER = r"(?:^|\s)(\d{1,2})[.)]\s++(?=[A-ZÁÉÍÓÚÑ0-9$€£])"
+MOST_MARKS, LEAST_ITEM, LEAST_LIST = 15, 20, 60
+# fixed values: where a list ends and the poster's own words begin
+LIST_TAIL = (
+    r"\s(?:Looking for|¿?Buscas|Podr[aá]s|Explora|Sign up|Suscr[ií]b|Reg[ií]strate|Follow|S[ií]guenos|Comparte|Share|Para m[aá]s|M[aá]s info|Read more|Learn more|Visit|Visita|Don.t miss"
+    r"|Know someone|Tag (?:them|a|someone)|📥|🌟|🔎|📲|📣|📢|📩|🔔|👇|⏰)|\s#[\p{L}\p{N}_]"
+)
+# fixed values: what an item of a list says if it is a record: an amount, a cue of a deadline, a naming word
+ITEM_MONEY = r"(?i)(?:[$€£]|USD|EUR|GBP)\s?\d"
+ITEM_DEADLINE = r"\b(closes?|cierra|deadline|fecha l[ií]mite|hasta el|plazo|due)\b"
+ITEM_WORDS = (
+    r"\b(grant|grants|fund|fondo|fondos|prize|premio|award|awards|challenge|fellowship|beca|becas|programa|program|programme|convocatoria|accelerator|acelerador|aceleradora|studio|cohort|competition|competencia"
+    r"|initiative|iniciativa|call|catalyst|subvenci[oó]n)\b"
+)
+# fixed values: words at which a name ends and its description begins
+TITLE_MONEY = r"^(?:(?:Up to|Hasta|Prizes? up to|From|Desde)\s+)?(?:[$€£]|USD|EUR|GBP)\s?[\d.,]++\s?[kKmM]?\s*[–—-]\s+"
+TITLE_BLURB = (
+    r"\s(?:(?:Cash prizes|Prizes|Grants|Grant funding|Funding|Fellowships|Support|Awards|Financiaci[oó]n|Apoyo)\s+(?:for|to|supporting|recognising|recognizing|helping|that|available|para|que)"
+    r"|Free\s+(?:[a-z]+\s+)?(?:support|training|mentoring|mentorship|services)|Partnership opportunities|Monthly\s+micro-?grants|Opportunities\s+(?:for|to))\b"
+)
+TITLE_AUDIENCE = r"\s(?:For|Para|Dirigido|Open to|Supports?|Empowers?)\s|\sFunds?\s+(?!for\b|of\b|and\b|the\b|in\b|to\b|&|\()|\s\|\s|:\s"
+# fixed values: units of ages, and currencies with their marks in the order in which they count
+AGE_UNITS = "mo|months?|mins|min|minutes?|hrs|hr|hours?|days?|weeks?|years?|yr|m|h|d|w|y"
+CURRENCIES = [("AUD", r"au\$"), ("AUD", r"a\$"), ("USD", r"us\$"), ("USD", "usd"), ("EUR", "eur"), ("EUR", "€"), ("GBP", "£"), ("GBP", "gbp"), ("USD", r"\$")]
+# fixed values: deadline phrases by source (null: any), with the order of the parts of their dates (d, M, y; no y: the year of the message) and the language of their months
+DATE_PATTERNS = [
+    (10, r"(?i)fecha\s+l[ií]mite[:\s]+(\d{1,2}\s+de\s+[a-záéíóúü]+\s+de\s+\d{4})", 1, "dMy", "es", None),
+    (11, r"(?i)(\d{1,2}\s+de\s+[a-záéíóúü]+\s+de\s+\d{4})", 1, "dMy", "es", None),
+    (20, r"(?i)\b((?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+\d{4})", 1, "Mdy", "en", None),
+    (21, r"(?i)\b(\d{1,2}\s+(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{4})", 1, "dMy", "en", None),
+    (30, r"(?i)\b(\d{1,2}\s+[a-z]{3,}\s+\d{4})", 1, "dMy", "en", "portal"),
+    (31, r"(?i)\b([a-z]{3,}\s+\d{1,2},?\s*\d{4})", 1, "Mdy", "en", "portal"),
+    (40, r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)", 1, "yMd", "en", None),
+    (50, r"(?<!\d)(\d{1,2}/\d{1,2}/\d{4})(?!\d)", 1, "dMy", "en", "portal"),
+    (51, r"(?<!\d)(\d{1,2}/\d{1,2}/\d{4})(?!\d)", 1, "Mdy", "en", None),
+    (60, r"(?i)(?:apply|submit(?:\s+(?:a\s+)?(?:concept\s+note|letter\s+of\s+inquiry|loi))?)\s+by\s+([a-z]+\s+\d{1,2})(?!\d)", 1, "Md", "en", "newsletter"),
+]

@@ -20,6 +20,11 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def any_of(c: Column, pattern: str) -> Column:
     """Whether a pattern matches somewhere, in either case, accented letters too."""
     return F.coalesce(c, F.lit("")).rlike(f"(?iu){ascii_edges(pattern)}")
@@ -61,9 +66,9 @@ def clean_title(c: Column, compat: bool = True) -> Column:
 
 def _without_element(c: Column, name: str) -> Column:
     """A page without the elements of a name, each up to its first end tag; one that never ends stays. The text is cut at the end tags, so none is searched for twice."""
-    cut = F.split(c, rf"(?i)</{name}>", -1)
-    inner = F.transform(F.slice(cut, 1, F.size(cut) - 1), lambda x: F.concat(F.regexp_replace(x, rf"(?is)<{name}\b.*$", ""), F.lit(" ")))
-    return F.when(F.size(cut) > 1, F.concat(F.array_join(inner, ""), F.element_at(cut, -1))).otherwise(c)
+    inner = lambda x: F.concat(F.regexp_replace(x, rf"(?is)<{name}\b.*$", ""), F.lit(" "))
+    without = lambda cut: F.concat(F.array_join(F.transform(F.slice(cut, F.lit(1), F.size(cut) - 1), inner), ""), F.element_at(cut, -1))
+    return let(F.split(c, rf"(?i)</{name}>", -1), without)
 
 
 def html_to_text(c: Column, blocks: bool = False) -> Column:
@@ -73,8 +78,8 @@ def html_to_text(c: Column, blocks: bool = False) -> Column:
         c = F.regexp_replace(c, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>", "\n")
         c = F.regexp_replace(c, r"(?i)</t[dh]>", " | ")
     # what stands after the last end of a tag holds none, and before it each tag ends
-    rest = F.substring_index(c, ">", -1)
-    c = F.concat(F.regexp_replace(F.left(c, F.char_length(c) - F.char_length(rest)), r"(?s)<[^>]*>", " "), rest)
+    ended = lambda x, rest: F.concat(F.regexp_replace(F.left(x, F.char_length(x) - F.char_length(rest)), r"(?s)<[^>]*>", " "), rest)
+    c = let(c, lambda x: let(F.substring_index(x, ">", -1), lambda rest: ended(x, rest)))
     for name, ch in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
         c = F.replace(c, F.lit(f"&{name};"), F.lit(ch))
     if not blocks:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oppflow.functions import fixed, keys
-from oppflow.functions.text import html_to_text
+from oppflow.functions.text import any_of, html_to_text, let
 from oppflow.operators.extract import derive_segment_title
 from oppflow.shared import materialize
 
@@ -95,58 +95,107 @@ def segment_bracketed(messages: DataFrame, regions: DataFrame, id_col: str = "me
 
 
 def segment_feed_page(pages: DataFrame, id_col: str = "page_id", body_col: str = "markdown") -> DataFrame:
-    """``page_id, pos, post_text, age``: posts of a feed page; a piece without a relative age in its first 600 characters is none."""
+    """``page_id, pos, post_text, age``: posts of a feed page; a piece without a relative age (``18m``, ``3 weeks``) that begins in its first 600 characters is none."""
     section = F.coalesce(F.nullif(F.regexp_extract(body_col, r"(?s)## Updates\s*\n(.*)$", 1), F.lit("")), F.col(body_col))
     pieces = F.split(section, r"(?m)^(?:\* \* \*|---|### .*|Report this post.*)$")
     rows = pages.select(F.col(id_col).alias("page_id"), F.posexplode(pieces).alias("pos", "post_text"))
-    age = F.regexp_extract(F.substring("post_text", 1, 600), r"(?m)(?:^|\s)(\d+(?:mo|[mhdwy]))\b", 1)
-    return rows.withColumn("age", age).filter("age <> ''").withColumn("post_text", F.trim("post_text"))
+    # the age may end beyond the window in which it begins
+    age, head = rf"(?i)(?<!\d)(\d++)\s*({fixed.AGE_UNITS})\b", F.substring("post_text", 1, 640)
+    rows = rows.filter(F.regexp_instr(head, F.lit(age)).between(1, 601))
+    return rows.withColumn("age", F.lower(F.concat(F.regexp_extract(head, age, 1), F.regexp_extract(head, age, 2)))).withColumn("post_text", F.trim("post_text"))
 
 
-#: Marks of list posts, the first kind that fits is taken: numbers, keycaps, arrows, right arrows, bullets.
-MARKERS = [r"(?m)^\s*(?:\d{1,2})[.)]\s+", r"(?:\d\x{FE0F}?\x{20E3}|\x{1F51F})\s*", r"(?m)^\s*(?:\x{27A1}\x{FE0F}?)\s*", r"(?m)^\s*(?:→|\x{25B6}\x{FE0F}?)\s*", r"(?m)^\s*[•▪●\x{2705}]\s*"]
-FOOTER = r"(?is)\n\s*(?:follow us|comparte|share this|#\S++(?:\s++#\S++)++\s*$).*"
+#: What stands after a post: calls to follow or share, from a line's start on.
+FOOTER = r"(?is)(?<!\s)([^\S\n]*+)\n\s*+(?:follow us|comparte|share this).*"
+#: Characters before the first item that go with each of them.
+HEADER = 200
+STRICT = ("bullets", "right arrows")
+
+
+def without_footer(text: Column) -> Column:
+    """A post without its last lines of hashtags or calls to follow; runs of white space and of hashtags are entered once."""
+    cut = F.regexp_replace(text, FOOTER, "$1")
+    # the part after the last word that is no hashtag holds nothing but hashtags
+    plain, tags = r"(?s)^(.*(?<!\S)[^#\s]\S*+)(\s.*)$", r"(?s)\n\s*+#\S++(?:\s++#\S++)++\s*+$"
+    kept = let(F.regexp_extract(text, plain, 2), lambda t: F.when(t != "", F.concat(F.left(text, F.length(text) - F.length(t)), F.regexp_replace(t, tags, ""))).otherwise(text))
+    return F.when(cut != text, cut).when(F.contains(text, F.lit("#")), kept).otherwise(text)
+
+
+def _has_money(t: Column) -> Column:
+    """An amount with a currency, or a number of thousands or millions."""
+    short = F.regexp_extract_all(t, F.lit(r"(?i)\b(\d[\d.,]*+\s?[km]\b)|\b\d[\d.,]*+|\d++"), F.lit(1))
+    return t.rlike(fixed.ITEM_MONEY) | F.exists(short, lambda x: x != "")
 
 
 def looks_like_record(segment: Column, strict: bool = False) -> Column:
-    """A link or an amount or a date; ``strict``: and a naming word."""
-    some = segment.rlike(r"(?i)https?://|\$\s?\d|(?:USD|EUR)\s?\d|\b\d{1,2}\s+de\s+\w+|\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\b|deadline|rolling")
-    return some & segment.rlike(r"(?i)grant|fund|award|prize|fellowship|challenge|convocatoria|fondo|premio|beca") if strict else some
+    """A link, an amount, a cue of a deadline or a naming word; ``strict``: a link, or both an amount and such a cue.
 
+    Bullets and right arrows are asked strictly, since lists of conditions have them too.
+    """
+    t = F.coalesce(segment, F.lit(""))
+    link, money, due = t.rlike("https?://"), _has_money(t), any_of(t, fixed.ITEM_DEADLINE)
+    return link | (money & due) if strict else link | money | due | any_of(t, fixed.ITEM_WORDS)
 
-#: Names of the kinds of marks.
-KINDS = ["numbers", "keycaps", "arrows", "right arrows", "bullets"]
-#: Characters before the first item that go with each of them.
-HEADER = 200
+
+def _places(body: Column, pattern: Column, consecutive: bool = False) -> Column:
+    """``start, end`` of all marks in a text, or of the run 1, 2, 3, ... that takes each number where it first comes; one fold over the marks."""
+    marks, gaps, numbers = F.regexp_extract_all(body, pattern, F.lit(0)), F.split(body, pattern, -1), F.regexp_extract_all(body, pattern, F.lit(1))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(acc: Column, m: Column) -> Column:
+        begin, end = acc["at"] + F.length(m["gap"]), acc["at"] + F.length(m["gap"]) + F.length(m["mark"])
+        hit = (m["n"].try_cast("int") == acc["next"]) if consecutive else m["mark"].isNotNull()
+        mine = F.array(F.struct((end - F.length(F.ltrim(m["mark"]))).alias("start") if not consecutive else (end - F.length(F.regexp_replace(m["mark"], r"^\s+", ""))).alias("start"), end.alias("end")))
+        return F.struct(F.coalesce(end, begin).alias("at"), F.when(hit, acc["next"] + 1).otherwise(acc["next"]).alias("next"), F.when(hit, F.concat(acc["found"], mine)).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(F.arrays_zip(gaps.alias("gap"), marks.alias("mark"), numbers.alias("n")), F.struct(F.lit(0).alias("at"), F.lit(1).alias("next"), none.alias("found")), step)["found"]
+
+
+def list_marks(body: Column, flat: Column) -> Column:
+    """``kind`` and ``places`` of the marks by which a post is a list, or null.
+
+    A run of numbers 1, 2, ... counts first, then 2 to 15 marks of one kind. In a text of several lines arrows and bullets
+    count at the start of a line only; in a text of one line (``flat``), as feed readers give posts, anywhere.
+    """
+    fitting = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("pattern")))
+    for kind, mark in fixed.LIST_MARKS:
+        p = F.lit(f"(){mark}") if kind == "keycaps" else F.when(flat, f"(){mark}").otherwise(rf"(?m)()^[^\S\n]*+{mark}")
+        fitting = fitting.when(F.regexp_count(body, p).between(2, fixed.MOST_MARKS), F.struct(F.lit(kind).alias("kind"), p.alias("pattern")))
+    others = let(fitting, lambda k: F.when(k.isNotNull(), F.struct(k["kind"].alias("kind"), _places(body, k["pattern"]).alias("places"))))
+    number = F.lit(fixed.LIST_NUMBER)
+    run = F.when(F.regexp_count(body, number) >= 2, _places(body, number, True))
+    return let(run, lambda r: F.when(F.size(r) >= 2, F.struct(F.lit("numbers").alias("kind"), r.alias("places"))).otherwise(others))
 
 
 def segment_posts(posts: DataFrame, id_col: str = "post_id", text_col: str = "post_text") -> DataFrame:
     """``post_id, segment, text, title, kind, header, start, end``: list posts as one row per item, all others as they are (segment 0).
 
-    ``header`` is what stands before the first item, ``start`` and ``end`` the item's place in the text (from its mark on, end exclusive).
+    A post is a list if one kind of marks fits and at least two of its items are records; items that are none are left
+    out, and the last item ends where the poster's own words begin. A post of one line needs 60 characters, and its
+    items 20. ``header`` is what stands before the first item, ``start`` and ``end`` the item's place in the text (from
+    its mark on, end exclusive). Null texts are empty; posts without line ends and marks stay whole.
     """
-    body = F.regexp_replace(F.coalesce(text_col, F.lit("")), FOOTER, "")
-    rows = posts.select(F.col(id_col).alias("post_id"), body.alias("body"))
-    kinds = []
-    for k, p in enumerate(MARKERS):
-        n = F.regexp_count("body", F.lit(p))
-        ok = n.between(2, 15)
-        if k == 0:
-            numbers = F.transform(F.regexp_extract_all("body", F.lit(r"(?m)^\s*(\d{1,2})[.)]\s+"), F.lit(1)), lambda x: x.cast("int"))
-            ok = ok & (numbers == F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1))))
-        parts, marks = F.split("body", p, -1), F.regexp_extract_all("body", F.lit(p), F.lit(0))
-        items = F.slice(parts, 2, 100)
-        found = F.struct(F.lit(KINDS[k]).alias("kind"), F.get(parts, 0).alias("header"), F.arrays_zip(items.alias("text"), F.slice(marks, 1, F.size(items)).alias("mark")).alias("items"))
-        kinds.append(F.when(ok & (F.size(F.filter(items, lambda x: looks_like_record(x))) >= 2), found))
-    rows = rows.withColumn("list", F.coalesce(*kinds))
-    upto = Window.partitionBy("post_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    many = rows.filter("list IS NOT NULL").select("post_id", "list.kind", "list.header", F.posexplode("list.items").alias("segment", "i"))
-    long = F.length("i.mark") + F.length("i.text")
-    many = many.withColumn("end", (F.length("header") + F.sum(long).over(upto)).cast("int")).withColumn("start", (F.col("end") - long).cast("int"))
-    many = many.filter(F.trim("i.text") != "").select("post_id", (F.col("segment") + 1).alias("segment"), F.col("i.text").alias("text"), "kind", F.left(_bare("header"), F.lit(HEADER)).alias("header"), "start", "end")
-    one = rows.filter("list IS NULL").select("post_id", F.lit(0).alias("segment"), F.col("body").alias("text"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("header"), F.lit(0).alias("start"), F.length("body").alias("end"))
-    out = many.unionByName(one).withColumn("text", _bare("text"))
-    return out.select("post_id", "segment", "text", derive_segment_title(F.col("text")).alias("title"), "kind", "header", "start", "end")
+    raw = posts.select(F.col(id_col).alias("post_id"), F.coalesce(text_col, F.lit("")).alias("raw"))
+    rows = raw.select("post_id", without_footer(F.col("raw")).alias("body"), (~F.contains(_bare("raw"), F.lit("\n"))).alias("flat"))
+    rows = rows.withColumn("marks", F.when(~F.col("flat") | (F.length(_bare("body")) >= fixed.LEAST_LIST), list_marks(F.col("body"), F.col("flat"))))
+    places, n = F.col("marks.places"), F.size("marks.places")
+    rows = rows.withColumn("cut", F.transform(places, lambda p, k: F.struct(p["start"].alias("start"), p["end"].alias("from"), F.when(k + 1 < n, F.get(places, k + 1)["start"]).otherwise(F.length("body")).alias("end"), (k + 1 == n).alias("last"))))
+    parts = rows.select("post_id", "body", "flat", "marks.kind", F.left(_bare(F.left("body", F.get("cut", 0)["start"])), F.lit(HEADER)).alias("header"), F.posexplode("cut").alias("at", "c"))
+    said = F.substr("body", F.col("c.from") + 1, F.col("c.end") - F.col("c.from"))
+    tail = F.regexp_instr(F.substr("said", F.lit(fixed.LEAST_ITEM + 1)), F.lit(fixed.LIST_TAIL))
+    parts = parts.withColumn("said", said).withColumn("tail", F.when(F.col("c.last"), tail).otherwise(0))
+    parts = parts.withColumn("said", F.when(F.col("tail") > 0, F.left("said", fixed.LEAST_ITEM + F.col("tail") - 1)).otherwise(F.col("said")))
+    parts = parts.withColumn("text", _bare(F.when(F.col("flat"), F.regexp_replace(_bare("said"), r"(?s)\s#[\p{L}\p{N}_].*$", "")).otherwise(F.col("said"))))
+    text, named = F.col("text"), any_of(F.col("text"), fixed.ITEM_WORDS)
+    strict = looks_like_record(text, True) | (~F.col("flat") & looks_like_record(text) & (_has_money(text) | any_of(text, fixed.ITEM_DEADLINE)) & named)
+    good = F.when(F.col("kind").isin(*STRICT), strict).otherwise(looks_like_record(text)) & (~F.col("flat") | (F.length("text") >= fixed.LEAST_ITEM)) & (text != "")
+    # counted before the others are left out, so that no filter repeats these expressions
+    of, one = Window.partitionBy("post_id"), F.when(F.col("good"), 1).otherwise(0)
+    items = parts.withColumn("good", good).withColumns({"_k": F.sum(one).over(of), "segment": F.sum(one).over(of.orderBy("at")).cast("int")}).filter("good AND _k >= 2")
+    many = materialize(items.select("post_id", "segment", "text", "kind", "header", F.col("c.start").alias("start"), (F.col("c.from") + F.length("said")).cast("int").alias("end")), "items")
+    one = rows.join(many.select("post_id").distinct(), "post_id", "left_anti")
+    one = one.select("post_id", F.lit(0).alias("segment"), _bare("body").alias("text"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("header"), F.lit(0).alias("start"), F.length("body").alias("end"))
+    return many.unionByName(one).select("post_id", "segment", "text", derive_segment_title(F.col("text")).alias("title"), "kind", "header", "start", "end")
 
 
 def split_posts(posts: DataFrame) -> DataFrame:
