@@ -26,6 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,7 +122,7 @@ def _column(rows: list[bytes], kind) -> list[np.ndarray]:
 
 
 def _chunk(batch: pa.RecordBatch) -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
-    """The chunk's name (a hash of its word list), word list (most frequent first), word of each position, positions per document."""
+    """A hash of the chunk's word list, the list (most frequent first), word of each position, positions per document."""
     import xxhash
 
     word, count = units(batch.column(1))
@@ -149,8 +150,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         src = materialize(src, "texts")
     id_type = src.schema["id"].dataType
 
+    def placed(batches):
+        """The chunks of a task and their names: places in the input, so that chunks with equal word lists stay apart. The
+        list's hash is compared where a chunk meets its words: another list at that place is an error, not another result."""
+        base = TaskContext.get().partitionId() << 32
+        return ((base + k, b) for k, b in enumerate(joined(batches, chunk_bytes)))
+
     def split_words(batches):
-        for b in joined(batches, chunk_bytes):
+        for place, b in placed(batches):
             name, listed, _, _ = _chunk(b)
             raw = listed.cast(pa.binary())
             to = np.fromiter(map(crc32, raw.to_pylist()), np.int64, len(raw)) % buckets
@@ -159,12 +166,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             offsets, body = buffers(raw.take(pa.array(order)))
             cut = np.append(start, len(order))
             rows = [(_pack(body[offsets[s] : offsets[e]]), _pack(np.diff(offsets[s : e + 1]).astype("<u4")), _pack(np.diff(order[s:e], prepend=0).astype("<u4"))) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), name)), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]], ["bucket", "chunk", "words", "sizes", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), place)), pa.array(np.full(len(some), name)), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]], ["bucket", "chunk", "list", "words", "sizes", "places"])
             del listed, raw, order, offsets, body, rows
             release()
 
     def encode_slice(rows: list[tuple]) -> pa.RecordBatch:
-        name, packed, size, places = zip(*rows, strict=True)
+        place, name, packed, size, places = zip(*rows, strict=True)
         sizes = _column(size, "<u4")
         body = np.concatenate(_column(packed, np.uint8))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
@@ -175,21 +182,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         at = np.concatenate([[0], np.cumsum(n)])[cut]
         return pa.RecordBatch.from_arrays(
             [
+                pa.array(place, pa.int64()),
                 pa.array(name, pa.int64()),
                 pa.array(places, pa.binary()),
                 pa.array([_pack(n[s:e].astype("<u4")) for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                 pa.array([_pack(ids[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary()),
             ],
-            ["chunk", "places", "lens", "ids"],
+            ["chunk", "list", "places", "lens", "ids"],
         )
 
     def encode_bucket(batches):
         rows, size = [], 0
         for b in batches:
-            for row in zip(*[b[c] for c in ("chunk", "words", "sizes", "places")], strict=True):
+            for row in zip(*[b[c] for c in ("chunk", "list", "words", "sizes", "places")], strict=True):
                 row = tuple(x.as_py() for x in row)
                 rows.append(row)
-                size += int.from_bytes(row[1][:8], "little")
+                size += int.from_bytes(row[2][:8], "little")
                 if size >= SLICE_BYTES:
                     yield encode_slice(rows)
                     rows, size = [], 0
@@ -200,9 +208,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         release()
 
     def positions(batches):
-        for b in joined(batches, chunk_bytes):
+        for place, b in placed(batches):
             name, _, at, count = _chunk(b)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), lists(b.column(0), [b.num_rows]), lists(pa.array(count.astype(np.int32)), [b.num_rows]), pa.array([_pack(at.astype("<u4"))], pa.binary())], ["chunk", "id", "count", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([name]), lists(b.column(0), [b.num_rows]), lists(pa.array(count.astype(np.int32)), [b.num_rows]), pa.array([_pack(at.astype("<u4"))], pa.binary())], ["chunk", "list", "id", "count", "at"])
             del at, count
             release()
 
@@ -235,10 +243,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return pa.table(out)
 
     ints = T.ArrayType(T.IntegerType())
-    words = src.mapInArrow(split_words, "bucket int, chunk long, words binary, sizes binary, places binary")
-    table = words.repartition("bucket").mapInArrow(encode_bucket, "chunk long, places binary, lens binary, ids binary")
-    at = src.mapInArrow(positions, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("id", T.ArrayType(id_type)), T.StructField("count", ints), T.StructField("at", T.BinaryType())]))
-    out = at.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(join_back, T.StructType([T.StructField("id", id_type), T.StructField("ids", ints), *([T.StructField("decoded", T.StringType())] if decoded else [])]))
+    words = src.mapInArrow(split_words, "bucket int, chunk long, list long, words binary, sizes binary, places binary")
+    table = words.repartition("bucket").mapInArrow(encode_bucket, "chunk long, list long, places binary, lens binary, ids binary")
+    at = src.mapInArrow(positions, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("list", T.LongType()), T.StructField("id", T.ArrayType(id_type)), T.StructField("count", ints), T.StructField("at", T.BinaryType())]))
+    out = at.groupBy("chunk", "list").cogroup(table.groupBy("chunk", "list")).applyInArrow(join_back, T.StructType([T.StructField("id", id_type), T.StructField("ids", ints), *([T.StructField("decoded", T.StringType())] if decoded else [])]))
     return out.withColumnRenamed("id", id_col)
 
 
