@@ -132,9 +132,14 @@ def looks_like_record(segment: Column, strict: bool = False) -> Column:
 
     Bullets and right arrows are asked strictly, since lists of conditions have them too.
     """
+    s = _signs(segment)
+    return let(s, lambda s: s["link"] | (s["money"] & s["due"]) if strict else s["link"] | s["money"] | s["due"] | s["named"])
+
+
+def _signs(segment: Column) -> Column:
+    """What an item of a list holds: a ``link``, ``money``, a cue of when it is ``due``, a word by which it is ``named``."""
     t = F.coalesce(segment, F.lit(""))
-    link, money, due = t.rlike("https?://"), _has_money(t), any_of(t, fixed.ITEM_DEADLINE)
-    return link | (money & due) if strict else link | money | due | any_of(t, fixed.ITEM_WORDS)
+    return F.struct(t.rlike("https?://").alias("link"), _has_money(t).alias("money"), any_of(t, fixed.ITEM_DEADLINE).alias("due"), any_of(t, fixed.ITEM_WORDS).alias("named"))
 
 
 def _places(body: Column, pattern: Column, consecutive: bool = False) -> Column:
@@ -175,27 +180,31 @@ def segment_posts(posts: DataFrame, id_col: str = "post_id", text_col: str = "po
     items 20. ``header`` is what stands before the first item, ``start`` and ``end`` the item's place in the text (from
     its mark on, end exclusive). Null texts are empty; posts without line ends and marks stay whole.
     """
-    raw = posts.select(F.col(id_col).alias("post_id"), F.coalesce(text_col, F.lit("")).alias("raw"))
-    rows = raw.select("post_id", without_footer(F.col("raw")).alias("body"), (~F.contains(_bare("raw"), F.lit("\n"))).alias("flat"))
+    raw = posts.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("post_id"), F.coalesce(text_col, F.lit("")).alias("raw"))
+    rows = raw.select("row", "post_id", without_footer(F.col("raw")).alias("body"), (~F.contains(_bare("raw"), F.lit("\n"))).alias("flat"))
     rows = rows.withColumn("marks", F.when(~F.col("flat") | (F.length(_bare("body")) >= fixed.LEAST_LIST), list_marks(F.col("body"), F.col("flat"))))
-    places, n = F.col("marks.places"), F.size("marks.places")
-    rows = rows.withColumn("cut", F.transform(places, lambda p, k: F.struct(p["start"].alias("start"), p["end"].alias("from"), F.when(k + 1 < n, F.get(places, k + 1)["start"]).otherwise(F.length("body")).alias("end"), (k + 1 == n).alias("last"))))
-    parts = rows.select("post_id", "body", "flat", "marks.kind", F.left(_bare(F.left("body", F.get("cut", 0)["start"])), F.lit(HEADER)).alias("header"), F.posexplode("cut").alias("at", "c"))
+    n = F.size("marks.places")
+    cut = F.transform(F.col("marks.places"), lambda p, k: F.struct(p["start"].alias("start"), p["end"].alias("from"), F.when(k + 1 < n, F.get("marks.places", k + 1)["start"]).otherwise(F.length("body")).alias("end"), (k + 1 == n).alias("last")))
+    # a post without marks stays as one row; the whole text goes with the first row only
+    parts = rows.select("row", "post_id", "body", "flat", "marks.kind", F.get("marks.places", 0)["start"].alias("first"), F.posexplode_outer(cut).alias("at", "c"))
+    lead = F.coalesce("at", F.lit(0)) == 0
     said = F.substr("body", F.col("c.from") + 1, F.col("c.end") - F.col("c.from"))
-    tail = F.regexp_instr(F.substr("said", F.lit(fixed.LEAST_ITEM + 1)), F.lit(fixed.LIST_TAIL))
-    parts = parts.withColumn("said", said).withColumn("tail", F.when(F.col("c.last"), tail).otherwise(0))
+    parts = parts.select("row", "post_id", "flat", "kind", "at", "c", lead.alias("lead"), F.when(lead, F.col("body")).alias("whole"), F.left(_bare(F.left("body", "first")), F.lit(HEADER)).alias("header"), said.alias("said"))
+    parts = parts.withColumn("tail", F.when(F.col("c.last"), F.regexp_instr(F.substr("said", F.lit(fixed.LEAST_ITEM + 1)), F.lit(fixed.LIST_TAIL))).otherwise(0))
     parts = parts.withColumn("said", F.when(F.col("tail") > 0, F.left("said", fixed.LEAST_ITEM + F.col("tail") - 1)).otherwise(F.col("said")))
     parts = parts.withColumn("text", _bare(F.when(F.col("flat"), F.regexp_replace(_bare("said"), r"(?s)\s#[\p{L}\p{N}_].*$", "")).otherwise(F.col("said"))))
-    text, named = F.col("text"), any_of(F.col("text"), fixed.ITEM_WORDS)
-    strict = looks_like_record(text, True) | (~F.col("flat") & looks_like_record(text) & (_has_money(text) | any_of(text, fixed.ITEM_DEADLINE)) & named)
-    good = F.when(F.col("kind").isin(*STRICT), strict).otherwise(looks_like_record(text)) & (~F.col("flat") | (F.length("text") >= fixed.LEAST_ITEM)) & (text != "")
+    text = F.col("text")
+    parts = parts.withColumn("is", _signs(text))
+    link, money, due, named = (F.col(f"is.{c}") for c in ("link", "money", "due", "named"))
+    strict = link | (money & due) | (~F.col("flat") & (money | due) & named)
+    good = F.when(F.col("kind").isin(*STRICT), strict).otherwise(link | money | due | named) & (~F.col("flat") | (F.length("text") >= fixed.LEAST_ITEM)) & (text != "")
     # counted before the others are left out, so that no filter repeats these expressions
-    of, one = Window.partitionBy("post_id"), F.when(F.col("good"), 1).otherwise(0)
-    items = parts.withColumn("good", good).withColumns({"_k": F.sum(one).over(of), "segment": F.sum(one).over(of.orderBy("at")).cast("int")}).filter("good AND _k >= 2")
-    many = materialize(items.select("post_id", "segment", "text", "kind", "header", F.col("c.start").alias("start"), (F.col("c.from") + F.length("said")).cast("int").alias("end")), "items")
-    one = rows.join(many.select("post_id").distinct(), "post_id", "left_anti")
-    one = one.select("post_id", F.lit(0).alias("segment"), _bare("body").alias("text"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("header"), F.lit(0).alias("start"), F.length("body").alias("end"))
-    return many.unionByName(one).select("post_id", "segment", "text", derive_segment_title(F.col("text")).alias("title"), "kind", "header", "start", "end")
+    of, hit = Window.partitionBy("row"), F.when(F.col("good"), 1).otherwise(0)
+    out = parts.withColumn("good", F.coalesce(good, F.lit(False))).withColumns({"_k": F.sum(hit).over(of), "nth": F.sum(hit).over(of.orderBy("at")).cast("int")}).filter("_k >= 2 AND good OR _k < 2 AND lead")
+    listed = F.col("_k") >= 2
+    either = lambda a, b: F.when(listed, a).otherwise(b)
+    out = out.select("post_id", either(F.col("nth"), 0).alias("segment"), either(text, _bare("whole")).alias("text"), F.when(listed, F.col("kind")).alias("kind"), either(F.col("header"), "").alias("header"), either(F.col("c.start"), 0).alias("start"), either((F.col("c.from") + F.length("said")).cast("int"), F.length("whole")).alias("end"))
+    return out.select("post_id", "segment", "text", derive_segment_title(F.col("text")).alias("title"), "kind", "header", "start", "end")
 
 
 def split_posts(posts: DataFrame) -> DataFrame:
