@@ -116,7 +116,7 @@ def without_footer(text: Column) -> Column:
     """A post without its last lines of hashtags or calls to follow; runs of white space and of hashtags are entered once."""
     cut = F.regexp_replace(text, FOOTER, "$1")
     # the part after the last word that is no hashtag holds nothing but hashtags
-    plain, tags = r"(?s)^(.*(?<!\S)[^#\s]\S*+)(\s.*)$", r"(?s)\n\s*+#\S++(?:\s++#\S++)++\s*+$"
+    plain, tags = r"(?s)^(.*(?<!\S)[^#\s]\S*+)(\s.*|)$", r"(?s)\n\s*+#\S++(?:\s++#\S++)++\s*+$"
     kept = let(F.regexp_extract(text, plain, 2), lambda t: F.when(t != "", F.concat(F.left(text, F.length(text) - F.length(t)), F.regexp_replace(t, tags, ""))).otherwise(text))
     return F.when(cut != text, cut).when(F.contains(text, F.lit("#")), kept).otherwise(text)
 
