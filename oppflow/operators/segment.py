@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oppflow.functions import fixed, keys
-from oppflow.functions.text import any_of, html_to_text, let
+from oppflow.functions.text import any_of, html_to_text, let, normalize_text
 from oppflow.operators.extract import derive_segment_title
 from oppflow.shared import materialize
 
@@ -313,25 +313,31 @@ def needs_media(records: DataFrame, short: int = 120) -> DataFrame:
     return records.groupBy("post_id").agg(F.bool_and(bare).alias("bare"), F.max(F.length("description")).alias("n")).filter(F.col("bare") | (F.col("n") < short)).select("post_id")
 
 
+#: Letters by which a head is routed to the texts that may hold it.
+GRAM = 12
+
+
 def match_with_fallback(left: DataFrame, right: DataFrame, key: str, text: str, n: int = 50, least: int = 30) -> DataFrame:
     """``left`` rows with the ``right`` row of the same key; the others by their first ``n`` normalised characters, where a right text holds them.
 
-    Heads of fewer than ``least`` characters match nothing. A head meets the texts that hold its first 12 characters; of
-    several right rows the one whose text, then whose other columns sort first counts.
+    Heads of fewer than ``least`` characters match nothing. Of several right rows the one whose text, then whose other
+    columns sort first counts. Null keys match no key, null texts are empty; columns of the input may have any name but
+    ``found``, which is added.
+
+    Heads are routed by their first ``GRAM`` characters: of the right texts only these pieces and a number of their row
+    travel, which is linear in the text; a text is fetched for the rows whose pieces some head asks for.
     """
-    from oppflow.functions.text import normalize_text
-
-    gram = 12
-    whole = normalize_text(F.col(text))
-    first = lambda df, by: df.groupBy(by).agg(F.min(F.struct("_t", "found")).alias("_b")).select(by, F.col("_b.found").alias("found"))
-    r = right.select(F.col(key).alias("_k"), whole.alias("_t"), F.struct(*right.columns).alias("found"))
-    rows = left.withColumns({"_row": F.monotonically_increasing_id(), "_head": F.substring(whole, 1, n)})
-    rows = materialize(rows, "left")
-    by_key = rows.join(first(r.filter("_k IS NOT NULL"), "_k"), F.col(key) == F.col("_k"), "left").drop("_k")
-    miss = by_key.filter("found IS NULL").drop("found")
-    long = r.filter(F.length("_t") >= least)
-    grams = long.select("_t", "found", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - gram + 1), lambda i: F.substr("_t", i, F.lit(gram))))).alias("_g"))
-    heads = miss.filter(F.length("_head") >= least).select("_row", "_head", F.left("_head", F.lit(gram)).alias("_g"))
-    met = first(heads.join(grams, "_g").filter(F.contains("_t", F.col("_head"))), "_row")
-    by_text = miss.join(met, "_row", "left")
-    return by_key.filter("found IS NOT NULL").unionByName(by_text).drop("_row", "_head")
+    whole = lambda c: normalize_text(F.col(c))
+    kept = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    number = F.monotonically_increasing_id()
+    rows = materialize(left.select(number.alias("at"), kept(left).alias("row"), F.col(key).alias("k"), F.substring(whole(text), 1, n).alias("head")), "left")
+    texts = materialize(right.select(number.alias("of"), kept(right).alias("found"), F.col(key).alias("k"), whole(text).alias("t")), "right")
+    best = F.min(F.struct("t", "found")).alias("b")
+    by_key = rows.join(texts.filter("k IS NOT NULL").groupBy("k").agg(best), "k", "left").select("at", "head", "b")
+    heads = by_key.filter(F.col("b").isNull() & (F.length("head") >= least)).select("at", "head", F.left("head", F.lit(GRAM)).alias("gram"))
+    heads = materialize(heads, "heads")
+    pieces = texts.filter(F.length("t") >= least).select("of", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("gram"))
+    asked = pieces.join(heads.select("gram").distinct(), "gram", "left_semi").join(heads, "gram").select("at", "head", "of")
+    held = asked.join(texts.select("of", "t", "found"), "of").filter(F.contains("t", F.col("head"))).groupBy("at").agg(best.alias("c"))
+    out = rows.select("at", "row").join(by_key.select("at", "b"), "at").join(held, "at", "left")
+    return out.select("row.*", F.coalesce("b.found", "c.found").alias("found"))
