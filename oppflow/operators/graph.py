@@ -83,11 +83,12 @@ def _with_least(edges: DataFrame, least: DataFrame, key: str, total: int) -> Dat
     return marked.filter("hot").drop("hot").join(few, key, "left").unionByName(marked.filter("hot IS NULL").drop("hot").join(rows, key, "left"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
     """``u, root`` for every node of ``edges`` (``u, v`` of one type that sorts) but the roots themselves; root is the least node of its component.
 
     The number of rounds grows with the logarithm of the longest chain; each
-    round is written to the shared folder.
+    round is written to the shared folder. Up to ``one_task`` edges, counted
+    after tasks have contracted theirs, are contracted by a single task instead.
     """
     kind = edges.schema["u"].dataType
     schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
@@ -95,6 +96,8 @@ def components(edges: DataFrame) -> DataFrame:
     # every edge leads from the larger node to the smaller one
     now, before = materialize(edges.select("u", "v").mapInArrow(_contract(to_arrow_type(kind)), schema).distinct(), "edges"), None
     total = now.count()
+    if total <= min(one_task, _LOCAL - 1):
+        return now.coalesce(1).mapInArrow(_contract(to_arrow_type(kind)), schema).withColumnRenamed("v", "root")
     while True:
         # large star: the larger node is linked to the least neighbour of the smaller one
         down = _with_least(now, least(now), "v", total).select("u", F.coalesce("m", "v").alias("v")).distinct()
