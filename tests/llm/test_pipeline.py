@@ -36,5 +36,5 @@ def test_run_is_the_stages(spark, sf_dir):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert langid.held_out(F.lit(1)) is not None
