@@ -36,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles at a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: classes by SimHash and BK-trees, checked by five-word shingles at a Jaccard similarity of 0.8 or more; min-hash bands bring what fingerprints leave apart."""
     return similar.dedupe(docs).select(COLUMNS)
 
 
