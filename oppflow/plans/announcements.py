@@ -54,7 +54,7 @@ def notices(spark, sf_dir) -> DataFrame:
     pick = lambda n: F.get(F.array(*[F.lit(w[0]) if n == 0 else w[1] for w in ways]), (k % 6).cast("int"))
     money = F.concat(F.get(F.array(F.lit("A$ "), F.lit("USD "), F.lit("EUR ")), (k % 3).cast("int")), F.floor("o_totalprice").cast("string"))
     text = F.concat(F.lit("A call for all: up to "), money, F.lit(". "), pick(1), F.when(k % 7 == 0, ", on a rolling basis").otherwise(""), F.lit("."))
-    return table(spark, sf_dir, "orders").select(k.alias("id"), pick(0).alias("source"), text.alias("text"), F.date_sub(day, 20).alias("received"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(k.alias("id"), pick(0).alias("source"), text.alias("text"), F.date_sub(day, 20).alias("received"))
 
 
 @query(
