@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from oppflow.operators import extract
+from oppflow.operators import extract, resolve
 from oppflow.plans import announcements
 
 TEXTS = [
@@ -37,3 +37,30 @@ def test_fields_are_worked_out_once(spark):
 
 def test_announcements_are_dealt_over_all_cores(spark, sf_dir):
     assert announcements.notices(spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def _records(spark):
+    rows = [(k, f"Grant {'water' if k % 5 else 'forest'} number{k:03d} place{k * 7 % 300:03d}", f"https://one.org/calls/c{k:03d}") for k in range(300)]
+    rows += [(1000 + k, "The Same Title For All Of Them", f"https://h{k}.org/x") for k in range(20)] + [(2000 + k, f"Other number{2000 + k}", "https://two.org/" + ("a/b" if k else "")) for k in range(6)]
+    return spark.createDataFrame(rows, "id long, title string, url string")
+
+
+def test_records_of_a_host_with_other_paths_do_not_meet(spark):
+    keyed = resolve.build_keys(_records(spark)).cache()
+    blocks = resolve._blocks(keyed, keyed)
+    sizes = blocks.groupBy("h").agg(F.sum(F.col("as_left").cast("long")).alias("l"), F.sum(F.col("as_right").cast("long")).alias("r"))
+    assert sizes.agg(F.sum(F.col("l") * F.col("r"))).first()[0] < 10_000  # all pairs of the host alone: 90000
+
+
+def test_pairs_are_found_once_in_tiles_and_never_moved(spark, monkeypatch):
+    df = _records(spark)
+    whole = resolve.match_pairs(df)
+    want = sorted(map(tuple, whole.collect()))
+    assert len(want) == len({x[:2] for x in want}) and sum(r in ("host", "url") for *_, r in want) == 15 and sum(r == "squash" for *_, r in want) == 190
+    steps = [x.strip(" :+-") for x in _plan(whole).splitlines()]
+    assert not any(x.startswith(("Aggregate", "Repartition", "Sort", "Window")) for x in steps[: next(k for k, x in enumerate(steps) if x.startswith("Join"))])
+    monkeypatch.setattr(resolve, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(resolve, "TASK_PAIRS", 50)
+    assert sorted(map(tuple, resolve.match_pairs(df).collect())) == want
+    two = resolve.match_pairs(df.filter("id % 2 = 0"), df)
+    assert {(r.id_a, r.id_b) for r in two.filter("id_a < id_b").collect()} == {x[:2] for x in want if x[0] % 2 == 0}
