@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from oppflow.operators import extract, resolve
+from oppflow.operators import extract, merge, resolve
 from oppflow.plans import announcements
 
 TEXTS = [
@@ -64,3 +64,18 @@ def test_pairs_are_found_once_in_tiles_and_never_moved(spark, monkeypatch):
     assert sorted(map(tuple, resolve.match_pairs(df).collect())) == want
     two = resolve.match_pairs(df.filter("id % 2 = 0"), df)
     assert {(r.id_a, r.id_b) for r in two.filter("id_a < id_b").collect()} == {x[:2] for x in want if x[0] % 2 == 0}
+
+
+def _pair_steps(df) -> set[str]:
+    """What is done to pairs, from the join that makes them up to the first step that keeps a row for each record."""
+    steps = [x.strip(" :+-") for x in _plan(df).splitlines()]
+    pairs = next(k for k, x in enumerate(steps) if x.startswith("Join Inner") and "array_intersect" in x)
+    last = max(k for k in range(pairs) if steps[k].startswith("Aggregate"))
+    return {x.split()[0] for x in steps[last:pairs]}
+
+
+def test_records_that_match_nothing(spark):
+    df = _records(spark)
+    got = resolve.anti_match(df, df.filter("id IN (7, 1003, 2000)"))
+    assert {r.id for r in got.select("id").collect()} == {k for k in range(300) if k != 7}
+    assert _pair_steps(got) == {"Aggregate", "Project", "Generate"}  # no join and no shuffle of pairs in between
