@@ -88,3 +88,11 @@ def test_actions_of_a_large_host(spark):
     # the identity key of the host is page 7's, which is another program than all others
     assert {r.id: (r.page_id, r.action) for r in got.collect() if r.action != "create"} == {7: (7, "unchanged"), 9: (9, "merge"), 1003: (1003, "unchanged")} | {1000 + k: (1003, "merge") for k in range(20) if k != 3} | {2000 + k: (2000, "unchanged") for k in range(6)}
     assert _pair_steps(got) == {"Aggregate", "Project", "Generate"}
+
+
+def test_snapshot_of_a_large_host(spark):
+    src = _records(spark).select("*", F.lit("CONSIDER").alias("tier"), F.lit(2.0).alias("final_score"), F.lit("").alias("angle"), F.lit(False).alias("researched"), F.lit(False).alias("not_a_grant"))
+    tgt = src.filter("id IN (7, 9, 1003, 2000)").select(F.col("id").alias("page_id"), "title", "url", F.lit("SKIP").alias("tier"), F.col("final_score").alias("score"), "angle", "researched", F.lit("Seen").alias("status"), F.lit("1997-01-01").cast("date").alias("scan_date"))
+    got = merge.upsert(src, tgt, F.lit("1997-06-01").cast("date"))[1]
+    assert sorted((r.tier, r.status) for r in got.collect()) == [("CONSIDER", "New")] * 298 + [("CONSIDER", "Seen")] * 4
+    assert _pair_steps(got) == {"Aggregate", "Project", "Generate"}
