@@ -96,3 +96,10 @@ def test_snapshot_of_a_large_host(spark):
     got = merge.upsert(src, tgt, F.lit("1997-06-01").cast("date"))[1]
     assert sorted((r.tier, r.status) for r in got.collect()) == [("CONSIDER", "New")] * 298 + [("CONSIDER", "Seen")] * 4
     assert _pair_steps(got) == {"Aggregate", "Project", "Generate"}
+
+
+def test_words_of_titles_with_equal_letters_are_those_of_the_least_id(spark):
+    rows = [(k, "Water Atat Atat" if k == 3 else "Wa Ter Atatatat" if k % 2 else "Water At At Atat", "") for k in range(20, 2, -1)]
+    keyed = resolve.build_keys(spark.createDataFrame(rows, "id long, title string, url string").repartition(5))
+    assert {r.word: r.n for r in resolve.word_frequency(keyed).collect()} == {"water": 1, "atat": 1}
+    assert {r.word: r.n for r in resolve.word_frequency(keyed.filter("id > 4")).collect()} == {"atatatat": 1}
