@@ -133,7 +133,7 @@ LIST_MARKS = [
     ("bullets", r"[🔹🔸🔶🔷▪▫◆■●•✅☑✔]\x{FE0F}?"),
 ]
 LIST_NUMBER = r"(?:^|\s)(\d{1,2})[.)]\s++(?=[A-ZÁÉÍÓÚÑ0-9$€£])"
-MOST_MARKS, LEAST_ITEM, LEAST_LIST = 15, 20, 60
+LEAST_ITEM, LEAST_LIST = 20, 60
 # fixed values: where a list ends and the poster's own words begin
 LIST_TAIL = (
     r"\s(?:Looking for|¿?Buscas|Podr[aá]s|Explora|Sign up|Suscr[ií]b|Reg[ií]strate|Follow|S[ií]guenos|Comparte|Share|Para m[aá]s|M[aá]s info|Read more|Learn more|Visit|Visita|Don.t miss"

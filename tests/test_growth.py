@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from oppflow.operators import extract, merge, resolve
+from oppflow.operators import extract, merge, resolve, segment
 from oppflow.plans import announcements
 
 TEXTS = [
@@ -103,3 +103,9 @@ def test_words_of_titles_with_equal_letters_are_those_of_the_least_id(spark):
     keyed = resolve.build_keys(spark.createDataFrame(rows, "id long, title string, url string").repartition(5))
     assert {r.word: r.n for r in resolve.word_frequency(keyed).collect()} == {"water": 1, "atat": 1}
     assert {r.word: r.n for r in resolve.word_frequency(keyed.filter("id > 4")).collect()} == {"atatatat": 1}
+
+
+def test_lists_of_many_items_are_split_whole(spark):
+    texts = [(n, "Open calls of the week: " + " ".join(f"➜ Grant {k} of the coast | $5000 | closes 3 May 2027" for k in range(n))) for n in (15, 16, 40)]
+    got = segment.segment_posts(spark.createDataFrame(texts, "post_id long, post_text string"))
+    assert {r.post_id: r.n for r in got.filter("segment > 0 AND kind = 'arrows'").groupBy("post_id").agg(F.count_distinct("title").alias("n")).collect()} == {15: 15, 16: 16, 40: 40}
