@@ -1,5 +1,9 @@
 """What grows with the tables: work once for each row, over all cores, and no more rows than are needed."""
 
+import itertools
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from oppflow.operators import extract, merge, resolve, segment
@@ -109,3 +113,22 @@ def test_lists_of_many_items_are_split_whole(spark):
     texts = [(n, "Open calls of the week: " + " ".join(f"➜ Grant {k} of the coast | $5000 | closes 3 May 2027" for k in range(n))) for n in (15, 16, 40)]
     got = segment.segment_posts(spark.createDataFrame(texts, "post_id long, post_text string"))
     assert {r.post_id: r.n for r in got.filter("segment > 0 AND kind = 'arrows'").groupBy("post_id").agg(F.count_distinct("title").alias("n")).collect()} == {15: 15, 16: 16, 40: 40}
+
+
+def _vectors(spark, n, kind="float"):
+    rng = random.Random(3)
+    rows = [(f"v{k:03d}", [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(6)]) for k in range(n)]
+    return rows, spark.createDataFrame(rows, f"id string, embedding array<{kind}>")
+
+
+def test_tiles_of_vectors_are_not_shuffled_for_each_other(spark):
+    rows, df = _vectors(spark, 60)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / max(math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 1e-300)
+    want = {(a, b) for (a, u), (b, v) in itertools.combinations(rows, 2) if cos(u, v) >= 0.71}
+    got = resolve.similar_vectors(df, threshold=0.71, tile_rows=7)
+    assert sorted((r.id_a, r.id_b) for r in got.collect()) == sorted(want) and len(want) > 50
+    assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
+    some = df.filter("id < 'v020'")
+    two = resolve.similar_vectors(some, _vectors(spark, 60, "double")[1].filter("id >= 'v020'"), threshold=0.71, tile_rows=7)
+    assert {(r.id_a, r.id_b) for r in two.collect()} == {x for x in want if x[0] < "v020" <= x[1]}
+    assert resolve.similar_vectors(df.filter("false")).count() == 0
