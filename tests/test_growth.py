@@ -132,3 +132,15 @@ def test_tiles_of_vectors_are_not_shuffled_for_each_other(spark):
     two = resolve.similar_vectors(some, _vectors(spark, 60, "double")[1].filter("id >= 'v020'"), threshold=0.71, tile_rows=7)
     assert {(r.id_a, r.id_b) for r in two.collect()} == {x for x in want if x[0] < "v020" <= x[1]}
     assert resolve.similar_vectors(df.filter("false")).count() == 0
+
+
+def test_pairs_of_records_without_a_mark_go_before_keys_travel(spark):
+    rows = [(1, "Alpha Water Prize", "https://a.org/x/1", [1.0, 0.0]), (2, "Omega Forest Award", "https://a.org/y/2", [0.6, 0.8]), (3, "Challenge of Vaults movenow", "https://b.org/m/1", [0.0, 1.0]), (4, "Some Other Reef Call movenow", "https://c.org/n/2", [0.6, 0.8001])]
+    df = spark.createDataFrame(rows, "id long, title string, url string, embedding array<double>")
+    got = resolve.vector_candidates(df)
+    seen = {(r.id_a, r.id_b): r.why for r in got.collect()}
+    assert (1, 2) not in seen and seen[(3, 4)] == ["marker"]
+    steps = [x.strip(" :+-") for x in _plan(got).splitlines()]
+    slim = next(k for k, x in enumerate(steps) if x.startswith("Filter") and "has_mark" in x)
+    joins = [k for k, x in enumerate(steps) if x.startswith("Join")]
+    assert sum(k < slim for k in joins) == 2 and any(k > slim for k in joins)
