@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from oppflow.operators import extract, merge, resolve, segment
 from oppflow.plans import announcements
+from oppflow.shared import materialize
 
 TEXTS = [
     (1, "feed", "Deadline: 5 March 2027, grants of $12,500 to $20,000", "2027-03-05", "fixed", 12500, 20000),
@@ -144,3 +145,11 @@ def test_pairs_of_records_without_a_mark_go_before_keys_travel(spark):
     slim = next(k for k, x in enumerate(steps) if x.startswith("Filter") and "has_mark" in x)
     joins = [k for k, x in enumerate(steps) if x.startswith("Join")]
     assert sum(k < slim for k in joins) == 2 and any(k > slim for k in joins)
+
+
+def test_pairs_between_clusters_are_looked_at_once(spark):
+    keyed = materialize(resolve.build_keys(_records(spark)), "keys")
+    got = resolve.linked(keyed)
+    assert {(r.id, r.root) for r in got.collect()} == {(1000 + k, 1000) for k in range(1, 20)} | {(2000 + k, 2000) for k in range(1, 6)}
+    # the links are written: what comes after reads them and compares no records again
+    assert "arrays_overlap" not in _plan(got)
